@@ -32,6 +32,11 @@ ANY_CHUNK = ""
 CHUNK_KEYS = ("chunk_id", "paper_id", "chunk_index")
 
 
+def _keys(*columns: str) -> list[str]:
+    """Column names without repeats (a scope may be one of the chunk keys)."""
+    return list(dict.fromkeys(columns))
+
+
 def chunk_order() -> list[Column]:
     """Corpus order."""
     return [F.col("paper_id"), F.col("chunk_index")]
@@ -43,17 +48,17 @@ def hit_order() -> list[Column]:
 
 def postings(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, chunk, dl, term, tf): one row per distinct term of a chunk."""
-    texts = chunks.select(*scope, *CHUNK_KEYS, "text").repartition("chunk_id")
-    tokens = texts.select(*scope, *CHUNK_KEYS, search_tokens(F.col("text")).alias("tokens"))
+    keys = _keys(*scope, *CHUNK_KEYS)
+    texts = chunks.select(*keys, "text").repartition("chunk_id")
+    tokens = texts.select(*keys, search_tokens(F.col("text")).alias("tokens"))
     counted = tokens.select(
-        *scope,
-        *CHUNK_KEYS,
+        *keys,
         F.size("tokens").alias("dl"),
         F.when(F.size("tokens") > 0, term_counts(F.col("tokens"))).alias("terms"),
     )
     any_chunk = F.array(F.struct(F.lit(ANY_CHUNK).alias("term"), F.lit(0).alias("tf")))
     terms = F.concat(F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int>>")), any_chunk)
-    return counted.select(*scope, *CHUNK_KEYS, "dl", F.inline(terms))
+    return counted.select(*keys, "dl", F.inline(terms))
 
 
 def document_frequency(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -143,7 +148,7 @@ def bm25_scores(postings: DataFrame, terms: DataFrame, scope: Sequence[str] = ()
     part = F.col("weight") * F.col("tf") / (F.col("tf") + fixed.BM25_K1 * length_norm)
     # ANY_CHUNK has tf 0; in a scope without tokens avgdl is 0 and the part is not a number.
     part = F.when(F.col("tf") > 0, part).otherwise(F.lit(0.0))
-    return hits.groupBy("query_id", *scope, *CHUNK_KEYS).agg(F.sum(part).alias("score"))
+    return hits.groupBy(*_keys("query_id", *scope, *CHUNK_KEYS)).agg(F.sum(part).alias("score"))
 
 
 def bm25(
@@ -198,7 +203,7 @@ def _any_chunk(queries: DataFrame, scope: Sequence[str]) -> DataFrame:
 def _filling(chunks: DataFrame, queries: DataFrame, n: int, scope: Sequence[str]) -> DataFrame:
     """The first 2n chunks of each query's scope, with score 0."""
     slots = 2 * n
-    slim = chunks.select(*scope, *CHUNK_KEYS)
+    slim = chunks.select(*_keys(*scope, *CHUNK_KEYS))
     if scope:
         first = top_n(slim, scope, chunk_order(), slots, "slot")
     else:
@@ -206,7 +211,7 @@ def _filling(chunks: DataFrame, queries: DataFrame, n: int, scope: Sequence[str]
         first = top_n(first, [], chunk_order(), slots, "slot")
     wanted = queries.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return wanted.join(first, [*scope, "slot"]).select(
-        "query_id", *scope, *CHUNK_KEYS, F.lit(0.0).alias("score")
+        *_keys("query_id", *scope, *CHUNK_KEYS), F.lit(0.0).alias("score")
     )
 
 

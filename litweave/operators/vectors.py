@@ -22,6 +22,7 @@ VECTOR_BLOCK = 8192
 QUERY_BLOCK = 1024
 
 HIT = "query_id string, chunk_id string, paper_id string, chunk_index int, score double"
+_HIT_COLUMNS = ["query_id", "chunk_id", "paper_id", "chunk_index", "score"]
 
 
 def embed(
@@ -120,8 +121,8 @@ def _with_joined_queries(
 ) -> DataFrame:
     """Block join: vectors and queries sharing `keys` meet in pieces of bounded size.
 
-    Both sides of a key are cut by hash into as many pieces as its row counts ask for, and each
-    pair of pieces is one group, so no key is too large for a task.
+    Both sides of a key are cut by hash into as many pieces as its row counts ask for, and pairs
+    of pieces meet in one group, so no key is too large for a task. Small keys share groups.
     """
     keys = list(keys)
 
@@ -132,10 +133,17 @@ def _with_joined_queries(
     v_pieces = pieces(vectors, VECTOR_BLOCK, "_vn")
     q_pieces = pieces(queries, QUERY_BLOCK, "_qn")
     if keys:
-        grid = v_pieces.join(q_pieces, keys)
+        groups = vectors.select(F.ceil(F.count("*") / VECTOR_BLOCK).alias("n")).scalar()
+        grid = v_pieces.join(q_pieces, keys).withColumn(
+            "_g", F.pmod(F.xxhash64(*keys), F.greatest(groups, F.lit(1)))
+        )
         vectors, queries = vectors.join(grid, keys), queries.join(grid, keys)
     else:
-        sizes = {"_vn": v_pieces.select("_vn").scalar(), "_qn": q_pieces.select("_qn").scalar()}
+        sizes = {
+            "_vn": v_pieces.select("_vn").scalar(),
+            "_qn": q_pieces.select("_qn").scalar(),
+            "_g": F.lit(0).cast("long"),
+        }
         vectors, queries = vectors.withColumns(sizes), queries.withColumns(sizes)
 
     def piece(column: str, count: str) -> Column:
@@ -144,18 +152,27 @@ def _with_joined_queries(
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    group = [*keys, "_v", "_q"]
     left = vectors.withColumn("_v", piece("chunk_id", "_vn")).withColumn("_q", every("_qn"))
     right = queries.withColumn("_q", piece("query_id", "_qn")).withColumn("_v", every("_vn"))
 
-    def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or q.empty:
-            return pd.DataFrame({c: [] for c in ("query_id", "chunk_id", "paper_id", "chunk_index", "score")})
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return _block_best(v, q["query_id"].to_numpy(), _matrix(q["embedding"]), n)
 
-    v_side = left.select(*group, "chunk_id", "paper_id", "chunk_index", "embedding")
-    q_side = right.select(*group, "query_id", "embedding")
-    return v_side.groupBy(*group).cogroup(q_side.groupBy(*group)).applyInPandas(run, HIT)
+    def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if keys:
+            asked = dict(list(q.groupby(keys)))
+            found = [best(part, asked[key]) for key, part in v.groupby(keys) if key in asked]
+        elif len(v) and len(q):
+            found = [best(v, q)]
+        return pd.concat(found) if found else pd.DataFrame(columns=_HIT_COLUMNS)
+
+    group = ["_g", "_v", "_q"]
+    v_columns = dict.fromkeys([*keys, "chunk_id", "paper_id", "chunk_index", "embedding"])
+    q_columns = dict.fromkeys([*keys, "query_id", "embedding"])
+    v_side = left.select(*group, *v_columns).groupBy(*group)
+    q_side = right.select(*group, *q_columns).groupBy(*group)
+    return v_side.cogroup(q_side).applyInPandas(run, HIT)
 
 
 def nearest(

@@ -36,11 +36,13 @@ def map_topics(
     trace: DataFrame,
     finals: DataFrame,
     card_texts: DataFrame,
+    drafts: DataFrame,
     pool: int | None = None,
 ) -> TopicMap:
     """topics(task_id, topic, embedding), finals(task_id, final_text) and
-    trace(task_id, seq, type, result_preview) of the retrieval run, card_texts(task_id, paper_id,
-    final_text) as the reading model wrote them."""
+    trace(task_id, seq, type, result_preview) of the retrieval run, card_texts(paper_id,
+    final_text[, task_id]) as the reading model wrote them, drafts(task_id, final_text) of the
+    reviews."""
     papers = written(list_papers(chunks), "papers")
     asked = topics.select(
         F.col("task_id").alias("query_id"), F.col("topic").alias("text"), "embedding"
@@ -54,12 +56,13 @@ def map_topics(
     candidates = written(found.withColumnRenamed("query_id", "task_id"), "candidates")
 
     wanted = candidates.select("task_id", "paper_id", F.col("rank").alias("pos"))
-    cards = written(parse_cards(card_texts.join(wanted, ["task_id", "paper_id"]), papers), "cards")
+    keys = [c for c in ("task_id", "paper_id") if c in card_texts.columns]
+    cards = written(parse_cards(card_texts.join(wanted, keys), papers), "cards")
 
     built = build_graph(cards)
     graph = Graph(*[written(df, name) for name, df in zip(Graph._fields, built)])
     pieces = review.review_pieces(topics.select("task_id", "topic"), cards, graph)
-    reviews = written(review.choose_review(review.review_text(pieces), finals), "reviews")
+    reviews = written(review.choose_review(review.review_text(pieces), drafts), "reviews")
 
     missing = quality.missing_cards(candidates, cards)
     bad = written(
