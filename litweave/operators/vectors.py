@@ -134,16 +134,12 @@ def _with_joined_queries(
     q_pieces = pieces(queries, QUERY_BLOCK, "_qn")
     if keys:
         groups = vectors.select(F.ceil(F.count("*") / VECTOR_BLOCK).alias("n")).scalar()
-        grid = v_pieces.join(q_pieces, keys).withColumn(
-            "_g", F.pmod(F.xxhash64(*keys), F.greatest(groups, F.lit(1)))
-        )
+        group_of = F.pmod(F.xxhash64(*keys), F.greatest(groups, F.lit(1)))
+        grid = v_pieces.join(q_pieces, keys)
         vectors, queries = vectors.join(grid, keys), queries.join(grid, keys)
     else:
-        sizes = {
-            "_vn": v_pieces.select("_vn").scalar(),
-            "_qn": q_pieces.select("_qn").scalar(),
-            "_g": F.lit(0).cast("long"),
-        }
+        group_of = F.lit(0)
+        sizes = {"_vn": v_pieces.select("_vn").scalar(), "_qn": q_pieces.select("_qn").scalar()}
         vectors, queries = vectors.withColumns(sizes), queries.withColumns(sizes)
 
     def piece(column: str, count: str) -> Column:
@@ -170,8 +166,8 @@ def _with_joined_queries(
     group = ["_g", "_v", "_q"]
     v_columns = dict.fromkeys([*keys, "chunk_id", "paper_id", "chunk_index", "embedding"])
     q_columns = dict.fromkeys([*keys, "query_id", "embedding"])
-    v_side = left.select(*group, *v_columns).groupBy(*group)
-    q_side = right.select(*group, *q_columns).groupBy(*group)
+    v_side = left.withColumn("_g", group_of).select(*group, *v_columns).groupBy(*group)
+    q_side = right.withColumn("_g", group_of).select(*group, *q_columns).groupBy(*group)
     return v_side.cogroup(q_side).applyInPandas(run, HIT)
 
 
