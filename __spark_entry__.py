@@ -291,8 +291,7 @@ def search_tokens(spark: SparkSession, sf: str) -> DataFrame:
       round((SELECT mean_idf FROM ck_mean), 6) AS mean_idf FROM ck_tot""",
 )
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stored = inputs.chunks(spark, sf)
-    stats = keyword.corpus_stats(stored, keyword.document_frequency(stored))
+    stats = keyword.corpus_stats(keyword.term_statistics(inputs.chunks(spark, sf)))
     return stats.select("n_chunks", _score("avgdl"), "n_terms", _score("mean_idf"))
 
 

@@ -31,5 +31,5 @@ def similarity(distance: Column) -> Column:
 
 
 def order_score(score: Column) -> Column:
-    """Score as a sort key: 9 decimals, so that summation order cannot split a tie."""
-    return F.round(score, 9)
+    """Score as a whole number of 1e-9 for sorting, so that summation order cannot split a tie."""
+    return F.floor(score * 1e9 + 0.5)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litweave import fixed
+from litweave.functions.arrays import let
 from litweave.functions.numbers import order_score
 from litweave.functions.text import search_tokens, term_counts
 from litweave.operators.ranking import rank_all, top_n
@@ -29,6 +30,8 @@ from litweave.session import written
 # every chunk of its scope with a contribution of 0.
 ANY_CHUNK = ""
 
+_POSTING = "array<struct<dl:int,term:string,tf:int>>"
+
 CHUNK_KEYS = ("chunk_id", "paper_id", "chunk_index")
 
 
@@ -50,42 +53,56 @@ def postings(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, chunk, dl, term, tf): one row per distinct term of a chunk."""
     keys = _keys(*scope, *CHUNK_KEYS)
     texts = chunks.select(*keys, "text").repartition("chunk_id")
-    tokens = texts.select(*keys, search_tokens(F.col("text")).alias("tokens"))
-    counted = tokens.select(
-        *keys,
-        F.size("tokens").alias("dl"),
-        F.when(F.size("tokens") > 0, term_counts(F.col("tokens"))).alias("terms"),
-    )
-    any_chunk = F.array(F.struct(F.lit(ANY_CHUNK).alias("term"), F.lit(0).alias("tf")))
-    terms = F.concat(F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int>>")), any_chunk)
-    return counted.select(*keys, "dl", F.inline(terms))
 
+    def rows(tokens: Column) -> Column:
+        # The length goes into the exploded rows: beside them it would be counted once per row.
+        counted = F.transform(
+            F.when(F.size(tokens) > 0, term_counts(tokens)),
+            lambda t: F.struct(F.size(tokens).alias("dl"), t["term"].alias("term"), t["tf"].alias("tf")),
+        )
+        any_chunk = F.struct(
+            F.size(tokens).alias("dl"), F.lit(ANY_CHUNK).alias("term"), F.lit(0).alias("tf")
+        )
+        return F.concat(F.coalesce(counted, F.array().cast(_POSTING)), F.array(any_chunk))
+
+    return texts.select(*keys, F.inline(let(search_tokens(F.col("text")), rows)))
 
-def document_frequency(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """(scope, term, df): chunks holding a term."""
-    distinct = F.array_distinct(search_tokens(F.col("text")))
-    terms = chunks.select(*scope, F.explode(distinct).alias("term"))
-    return terms.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+
+def term_statistics(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, term, df, tokens) from one pass over the corpus.
+
+    `df` counts the chunks holding a term. The row of ANY_CHUNK counts all chunks of the scope,
+    and its `tokens` is their total length.
+    """
+
+    def rows(tokens: Column) -> Column:
+        none = F.lit(0)
+        terms = F.transform(
+            F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), none.alias("tokens"))
+        )
+        total = F.struct(F.lit(ANY_CHUNK).alias("term"), F.size(tokens).alias("tokens"))
+        return F.concat(terms, F.array(total))
+
+    found = chunks.select(*scope, F.inline(let(search_tokens(F.col("text")), rows)))
+    return found.groupBy(*scope, "term").agg(
+        F.count("*").alias("df"), F.sum("tokens").alias("tokens")
+    )
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def corpus_stats(
-    chunks: DataFrame, frequency: DataFrame, scope: Sequence[str] = ()
-) -> DataFrame:
+def corpus_stats(statistics: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, n_chunks, avgdl, n_terms, mean_idf) of each non-empty scope.
 
     The mean runs over the histogram of document frequencies, not over the vocabulary.
     """
-    length = F.size(search_tokens(F.col("text"))).cast("long")
-    totals = (
-        chunks.select(*scope, length.alias("dl"))
-        .groupBy(*scope)
-        .agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("tokens"))
+    totals = statistics.where(F.col("term") == ANY_CHUNK).select(
+        *scope, F.col("df").alias("n_chunks"), "tokens"
     )
-    histogram = frequency.groupBy(*scope, "df").agg(F.count("*").alias("n"))
+    words = statistics.where(F.col("term") != ANY_CHUNK)
+    histogram = words.groupBy(*scope, "df").agg(F.count("*").alias("n"))
     if scope:
         joined = histogram.join(totals.select(*scope, "n_chunks"), list(scope))
         vocabulary = _vocabulary(joined, scope, F.col("n_chunks"))
@@ -96,7 +113,7 @@ def corpus_stats(
         vocabulary = one.select(F.struct("n_terms", "mean_idf")).scalar()
         stats = totals.withColumn("v", vocabulary).select(
             "n_chunks", "tokens", "v.n_terms", "v.mean_idf"
-        ).where("n_chunks > 0")
+        )
     return stats.select(
         *scope,
         "n_chunks",
@@ -114,7 +131,7 @@ def _vocabulary(histogram: DataFrame, scope: Sequence[str], n: Column) -> DataFr
 
 
 def query_terms(
-    queries: DataFrame, frequency: DataFrame, stats: DataFrame, scope: Sequence[str] = ()
+    queries: DataFrame, statistics: DataFrame, scope: Sequence[str] = ()
 ) -> DataFrame:
     """(query_id, scope, term, weight, avgdl, negative): terms the scope knows.
 
@@ -123,7 +140,8 @@ def query_terms(
     """
     tokens = queries.select("query_id", *scope, F.explode(search_tokens(F.col("text"))).alias("term"))
     counted = tokens.groupBy("query_id", *scope, "term").agg(F.count("*").alias("times"))
-    known = counted.join(frequency, [*scope, "term"])
+    known = counted.join(statistics.drop("tokens"), [*scope, "term"])
+    stats = corpus_stats(statistics, scope)
     if scope:
         known = known.join(stats, list(scope))
     else:
@@ -152,20 +170,27 @@ def bm25_scores(postings: DataFrame, terms: DataFrame, scope: Sequence[str] = ()
 
 
 def bm25(
-    chunks: DataFrame, queries: DataFrame, n: int | None, scope: Sequence[str] = ()
+    chunks: DataFrame,
+    queries: DataFrame,
+    n: int | None,
+    scope: Sequence[str] = (),
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Best `n` chunks per query: (query_id, chunk_id, paper_id, chunk_index, score, rank).
 
     Order: score descending, then corpus order. Chunks with score 0 count: a query with fewer
-    than `n` matches is filled in corpus order. `n=None` ranks the whole scope.
+    than `n` matches is filled in corpus order. `n=None` ranks the whole scope. `statistics`
+    takes a stored `term_statistics` of the same chunks and scope.
     """
     scope = list(scope)
     queries = queries.select("query_id", *scope, "text")
     if scope:
         chunks = chunks.join(queries.select(*scope).distinct(), scope, "left_semi")
-    frequency = document_frequency(chunks, scope)
-    stats = corpus_stats(chunks, frequency, scope)
-    terms = written(query_terms(queries, frequency, stats, scope), "query-terms")
+    if statistics is None:
+        statistics = term_statistics(chunks, scope)
+        if not scope:
+            statistics = written(statistics, "term-statistics")
+    terms = written(query_terms(queries, statistics, scope), "query-terms")
     posted = postings(chunks, scope)
     every = queries.select("query_id", *scope).withColumn("negative", F.lit(False))
     result = ["query_id", *CHUNK_KEYS, "score", "rank"]
@@ -216,12 +241,11 @@ def _filling(chunks: DataFrame, queries: DataFrame, n: int, scope: Sequence[str]
 
 
 def _rank_scope(scored: DataFrame) -> DataFrame:
-    """Rank all chunks of a scope; equal scores of 0 are split by paper."""
-    score = order_score(F.col("score"))
+    """Rank all chunks of a scope; those with score 0, often the most, are split by paper."""
+    key = order_score(F.col("score"))
     buckets = [
-        -F.floor(score * 16),
-        F.when(score == 0, F.substring("paper_id", 1, 2)).otherwise(F.lit("")),
+        -F.floor(key / 62_500_000),  # a sixteenth
+        (key == 0).cast("int"),  # the bucket from 0 on also holds small positive scores
+        F.when(key == 0, F.substring("paper_id", 1, 2)).otherwise(F.lit("")),
     ]
-    # The score bucket of 0 also holds small positive scores, which sort before the zeros.
-    buckets.insert(1, F.when(score > 0, F.lit(0)).otherwise(F.lit(1)))
     return rank_all(scored, ["query_id"], buckets, hit_order())

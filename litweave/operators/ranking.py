@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litweave.session import written
+
 
 def top_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
@@ -30,10 +32,11 @@ def rank_all(
     """0-based rank of every row of a key, computed per bucket.
 
     `buckets` are expressions that split a key into ranges following `order` (ascending). Only
-    one counter per bucket meets in one task; the rows are sorted inside their bucket.
+    one counter per bucket meets in one task; the rows are sorted inside their bucket. The rows
+    are written first, because they are read twice.
     """
     names = [f"_bucket{i}" for i in range(len(buckets))]
-    rows = df.withColumns(dict(zip(names, buckets)))
+    rows = written(df.withColumns(dict(zip(names, buckets))), "unranked")
     counts = rows.groupBy(*keys, *names).agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

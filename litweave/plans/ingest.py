@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litweave import fixed
+from litweave.functions.arrays import let
 from litweave.functions.text import publication_year
 from litweave.operators import structure
 from litweave.sources.papers import full_text
@@ -40,22 +41,31 @@ def parse_papers(
 
 
 def chunk_rows(parsed: DataFrame) -> DataFrame:
-    """One row per chunk: chunk_id, paper_id, text and flat metadata."""
-    exploded = parsed.select(
-        "paper_id", "title", "year", "source", F.posexplode("chunks").alias("chunk_index", "c")
-    )
-    return exploded.select(
-        F.concat_ws("_", "paper_id", "chunk_index").alias("chunk_id"),
-        "paper_id",
-        F.col("c.text").alias("text"),
-        "title",
-        "year",
-        "source",
-        F.col("c.section").alias("section"),
-        F.col("c.page").alias("page"),
-        F.col("c.start_page").alias("start_page"),
-        "chunk_index",
+    """One row per chunk: chunk_id, paper_id, text and flat metadata.
+
+    Whole rows are built inside the array: a column computed beside an exploded array would be
+    computed again for each of its elements.
+    """
+
+    def row(paper: Column, c: Column, i: Column) -> Column:
+        return F.struct(
+            F.concat_ws("_", paper["paper_id"], i).alias("chunk_id"),
+            paper["paper_id"].alias("paper_id"),
+            c["text"].alias("text"),
+            paper["title"].alias("title"),
+            paper["year"].alias("year"),
+            paper["source"].alias("source"),
+            c["section"].alias("section"),
+            c["page"].alias("page"),
+            c["start_page"].alias("start_page"),
+            i.alias("chunk_index"),
+        )
+
+    rows = let(
+        F.struct("paper_id", "title", "year", "source"),
+        lambda paper: F.transform("chunks", lambda c, i: row(paper, c, i)),
     )
+    return parsed.select(F.inline(rows))
 
 
 def ingest_report(parsed: DataFrame) -> DataFrame:
