@@ -20,6 +20,7 @@ from litweave.operators.ranking import rank_all, top_n
 QUERY_LIMIT = 4096
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 1024
+SCORE_CELLS = 2_000_000
 
 HIT = "query_id string, chunk_id string, paper_id string, chunk_index int, score double"
 _HIT_COLUMNS = ["query_id", "chunk_id", "paper_id", "chunk_index", "score"]
@@ -54,9 +55,20 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
 
-def _block_best(vectors: pd.DataFrame, ids: np.ndarray, q: np.ndarray, n: int | None) -> pd.DataFrame:
-    """Best n of a block of vectors for every query. Scores carry 9 decimals, so that equal
-    distances tie whatever the block they were computed in; ties follow corpus order."""
+def _best(
+    vectors: pd.DataFrame, ids: np.ndarray, q: np.ndarray, n: int | None
+) -> Iterator[pd.DataFrame]:
+    """Best n for every query, from slices small enough to bound the score matrix."""
+    step = max(1, SCORE_CELLS // max(1, len(ids)))
+    for start in range(0, len(vectors), step):
+        yield _slice_best(vectors.iloc[start : start + step], ids, q, n)
+
+
+def _slice_best(
+    vectors: pd.DataFrame, ids: np.ndarray, q: np.ndarray, n: int | None
+) -> pd.DataFrame:
+    """Best n of a slice of vectors for every query. Scores carry 9 decimals, so that equal
+    distances tie whatever the slice they were computed in; ties follow corpus order."""
     vectors = vectors.sort_values(["paper_id", "chunk_index"], kind="stable")
     v = _matrix(vectors["embedding"])
     squared = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2.0 * (q @ v.T)
@@ -93,15 +105,13 @@ def _with_sent_queries(vectors: DataFrame, queries: pd.DataFrame, n: int | None)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for batch in batches:
-            if batch.empty:
-                continue
-            found = _block_best(batch, ids, q, n)
-            if n is None:
-                yield found
-                continue
-            best = found if best is None else pd.concat([best, found], ignore_index=True)
-            if len(best) > 4 * n * len(ids):
-                best = _trim(best, n)
+            for found in _best(batch, ids, q, n):
+                if n is None:
+                    yield found
+                    continue
+                best = found if best is None else pd.concat([best, found], ignore_index=True)
+                if len(best) > 4 * n * len(ids):
+                    best = _trim(best, n)
         if best is not None:
             yield _trim(best, n)
 
@@ -151,16 +161,18 @@ def _with_joined_queries(
     left = vectors.withColumn("_v", piece("chunk_id", "_vn")).withColumn("_q", every("_qn"))
     right = queries.withColumn("_q", piece("query_id", "_qn")).withColumn("_v", every("_vn"))
 
-    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return _block_best(v, q["query_id"].to_numpy(), _matrix(q["embedding"]), n)
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> list[pd.DataFrame]:
+        return list(_best(v, q["query_id"].to_numpy(), _matrix(q["embedding"]), n))
 
     def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found: list[pd.DataFrame] = []
         if keys:
             asked = dict(list(q.groupby(keys)))
-            found = [best(part, asked[key]) for key, part in v.groupby(keys) if key in asked]
+            for key, part in v.groupby(keys):
+                if key in asked:
+                    found += best(part, asked[key])
         elif len(v) and len(q):
-            found = [best(v, q)]
+            found = best(v, q)
         return pd.concat(found) if found else pd.DataFrame(columns=_HIT_COLUMNS)
 
     group = ["_g", "_v", "_q"]

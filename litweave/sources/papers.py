@@ -130,8 +130,16 @@ def full_text(lines: Column) -> Column:
 
 
 def page_texts(lines: Column) -> Column:
-    """Text per page in page order, as an array."""
-    pages = F.array_sort(F.array_distinct(F.transform(lines, lambda l: l["page"])))
-    return F.transform(
-        pages, lambda p: full_text(F.filter(lines, lambda l: l["page"] == p))
-    )
+    """Text per page in page order, as an array; lines come ordered by page."""
+
+    def opens(l: Column, i: Column) -> Column:
+        return F.when((i == 0) | (l["page"] != F.get(lines, i - 1)["page"]), i)
+
+    def texts(starts: Column) -> Column:
+        def page(start: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(starts, j + 1), F.size(lines))
+            return full_text(F.slice(lines, start + 1, end - start))
+
+        return F.transform(starts, page)
+
+    return let(F.filter(F.transform(lines, opens), lambda i: i.isNotNull()), texts)
