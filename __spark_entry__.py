@@ -778,11 +778,16 @@ def page_slugs(spark: SparkSession, sf: str) -> DataFrame:
 # --- all stages -------------------------------------------------------------------------
 
 
-@query("topic_map")
+@query(
+    "topic_map",
+    """SELECT query_id AS task_id, 'done' AS status, count(*) AS candidates,
+      count(f.paper_id) AS cards, CAST(coalesce(sum(1 + len(opposes)), 0) AS BIGINT) AS edges,
+      count(*) - count(f.paper_id) AS to_read
+    FROM candidate_rows c LEFT JOIN card_fields f ON f.paper_id = c.paper_id GROUP BY query_id""",
+)
 def topic_map(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark passage as a topic, from retrieval to the gate."""
     topics = inputs.queries(spark, sf).withColumnsRenamed({"query_id": "task_id", "text": "topic"})
-    card_texts = inputs.card_raw(spark, sf).select("paper_id", "final_text")
     rename = {"query_id": "task_id"}
     mapped = map_topics(
         topics,
@@ -790,14 +795,22 @@ def topic_map(spark: SparkSession, sf: str) -> DataFrame:
         inputs.vectors(spark, sf),
         inputs.trace(spark, sf).withColumnsRenamed(rename),
         inputs.finals(spark, sf).withColumnsRenamed(rename),
-        card_texts,
+        inputs.card_raw(spark, sf).select("paper_id", "final_text"),
         inputs.drafts(spark, sf),
     )
-    counts = mapped.candidates.groupBy("task_id").agg(F.count("*").alias("candidates"))
-    totals = graph_ops.graph_totals(topics, mapped.graph)
-    return mapped.tasks.join(counts, "task_id").join(totals, "task_id").join(
-        mapped.reviews.select("task_id", F.length("review").alias("review_chars")), "task_id"
-    )
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("task_id").agg(F.count("*").alias(name))
+
+    counts = mapped.tasks.select("task_id", "status")
+    for part, name in (
+        (mapped.candidates, "candidates"),
+        (mapped.cards, "cards"),
+        (mapped.graph.edges, "edges"),
+        (mapped.rework.where("action = 'read'"), "to_read"),
+    ):
+        counts = counts.join(count(part, name), "task_id", "left")
+    return counts.na.fill(0)
 
 
 # --- contract ------------------------------------------------------------------------------
