@@ -6,12 +6,14 @@ import os
 import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import driver_sql as sql  # noqa: E402
+import litweave  # noqa: E402
 import driver_tables as inputs  # noqa: E402
 from litweave import fixed  # noqa: E402
 from litweave.functions import json_text, text  # noqa: E402
@@ -25,6 +27,12 @@ from litweave.session import new_folder  # noqa: E402
 from litweave.sources import exports, papers as paper_source, state, store  # noqa: E402
 from litweave.streaming.incremental import ingest_stream  # noqa: E402
 
+# Python functions travel to the workers by value, so these need no copy of the package and the
+# queries run from any working directory.
+cloudpickle.register_pickle_by_value(litweave)
+if __name__ in sys.modules:
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -278,11 +286,11 @@ def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     GROUP BY doc_id, term""",
 )
 def search_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = inputs.table(spark, sf, "documents").select(
+    tokens = inputs.documents(spark, sf).select(
         "doc_id", text.search_tokens(F.col("text")).alias("tokens")
     )
-    counted = tokens.where("size(tokens) > 0")
-    return counted.select("doc_id", F.inline(text.term_counts(F.col("tokens"))))
+    counted = tokens.where("size(tokens) > 0").select("doc_id", text.term_counts(F.col("tokens")).alias("t"))
+    return counted.select("doc_id", F.inline("t"))
 
 
 @query(

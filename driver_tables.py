@@ -61,13 +61,18 @@ def papers_of(documents: DataFrame) -> DataFrame:
     )
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table. One small file would be one task, so it is spread over the cores; a
+    table of many files is read in parallel as it is."""
+    found = table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
-    if documents.rdd.getNumPartitions() < cores:
-        # One small file is one task; a table of many files is read in parallel as it is.
-        documents = documents.repartition(cores, "doc_id")
-    return papers_of(documents)
+    if len(found.inputFiles()) < cores:
+        found = found.repartition(cores, "doc_id")
+    return found
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers_of(documents(spark, sf_dir))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +112,8 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as one chunk each, the level at which vectors exist."""
-    documents = table(spark, sf_dir, "documents")
     pid = paper_id(F.col("doc_id"))
-    return documents.select(
+    return documents(spark, sf_dir).select(
         F.concat(pid, F.lit("_0")).alias("chunk_id"),
         pid.alias("paper_id"),
         F.col("text"),

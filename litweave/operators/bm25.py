@@ -187,9 +187,8 @@ def bm25(
     if scope:
         chunks = chunks.join(queries.select(*scope).distinct(), scope, "left_semi")
     if statistics is None:
-        statistics = term_statistics(chunks, scope)
-        if not scope:
-            statistics = written(statistics, "term-statistics")
+        # Read three times below, with different filters: one pass and one table are cheaper.
+        statistics = written(term_statistics(chunks, scope), "term-statistics")
     terms = written(query_terms(queries, statistics, scope), "query-terms")
     posted = postings(chunks, scope)
     every = queries.select("query_id", *scope).withColumn("negative", F.lit(False))
