@@ -363,6 +363,16 @@ def hybrid_year_filter(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 
+@query("hybrid_year_scopes", HITS.format("zh"))
+def hybrid_year_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query with a year limit of its own."""
+    number = F.substring("query_id", 2, 9).cast("int")
+    asked = inputs.queries(spark, sf).withColumn("year_min", 2003 + number % 5 * 4)
+    corpus = fusion.with_year_scopes(inputs.doc_chunks(spark, sf), asked)
+    hits = fusion.hybrid_search(corpus, inputs.vectors(spark, sf), asked, scope=["year_min"])
+    return hits.select("query_id", "chunk_id", _score(), "rank")
+
+
 @query("hybrid_in_paper", HITS.format("vh"))
 def hybrid_in_paper(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.hybrid_search(

@@ -225,7 +225,7 @@ def bm25(prefix: str, corpus: str, queries: str, scope: str = "") -> str:
       SELECT w.query_id, t.chunk_id,
         sum(w.idf * w.times * t.tf * 2.5 / (t.tf + 1.5 * (0.25 + 0.75 * d.dl / o.avgdl))) AS score
       FROM {p}_weights w JOIN {p}_tf t ON t.term = w.term{on('t', 'w')}
-      JOIN {p}_dl d ON d.chunk_id = t.chunk_id
+      JOIN {p}_dl d ON d.chunk_id = t.chunk_id{on('d', 't')}
       JOIN {p}_tot o ON true{on('o', 'w')}
       GROUP BY w.query_id, t.chunk_id""")
     cte(f"{p}_ranked", f"""
@@ -275,6 +275,14 @@ bm25("yk", "late_chunks", "items")
 nearest("yv", "late_chunks", "items")
 fused("yh", "yv", "yk_ranked", "24", "8")
 
+cte("dated_items", "SELECT *, 2003 + item_id % 5 * 4 AS year_min FROM items")
+cte("dated_chunks", """
+  SELECT c.*, year_min FROM doc_chunks c
+  JOIN (SELECT DISTINCT year_min FROM dated_items) ON year >= year_min""")
+bm25("zk", "dated_chunks", "dated_items", "year_min")
+nearest("zv", "dated_chunks", "dated_items", "year_min")
+fused("zh", "zv", "zk_ranked", "24", "8")
+
 cte("paper_items", f"""
   SELECT 'p' || doc_id AS query_id, {pid('doc_id')} AS paper_id, b.text
   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")

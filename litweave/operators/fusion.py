@@ -25,6 +25,18 @@ def paper_filter(year_min: int | None = None, paper_id: str | None = None) -> Co
     return condition
 
 
+def with_year_scopes(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Chunks once per distinct `year_min` of the queries they satisfy.
+
+    For query sets in which every query has its own year limit: search the result with
+    `scope=["year_min"]`, and the statistics of each limit are those of its own corpus. Years end
+    at a known maximum, so the comparison is an equi-join on the year.
+    """
+    limits = queries.select("year_min").where("year_min is not null").distinct()
+    years = F.sequence(F.col("year_min"), F.lit(fixed.MAX_CREATION_YEAR))
+    return chunks.join(limits.select("year_min", F.explode(years).alias("year")), "year")
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
     """Merge two ranked lists: raw = Σ 1 / (60 + rank)."""
     none = F.lit(None).cast("int")

@@ -167,20 +167,23 @@ def _with_joined_queries(
     def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found: list[pd.DataFrame] = []
         if keys:
-            asked = dict(list(q.groupby(keys)))
-            for key, part in v.groupby(keys):
+            asked = dict(list(q.groupby(fresh)))
+            for key, part in v.groupby(fresh):
                 if key in asked:
                     found += best(part, asked[key])
         elif len(v) and len(q):
             found = best(v, q)
         return pd.concat(found) if found else pd.DataFrame(columns=_HIT_COLUMNS)
 
+    # New names for the keys: the two sides of a cogroup must not share a column.
+    fresh = [f"_key{i}" for i in range(len(keys))]
     group = ["_g", "_v", "_q"]
-    v_columns = dict.fromkeys([*keys, "chunk_id", "paper_id", "chunk_index", "embedding"])
-    q_columns = dict.fromkeys([*keys, "query_id", "embedding"])
-    v_side = left.withColumn("_g", group_of).select(*group, *v_columns).groupBy(*group)
-    q_side = right.withColumn("_g", group_of).select(*group, *q_columns).groupBy(*group)
-    return v_side.cogroup(q_side).applyInPandas(run, HIT)
+    shared = [*group, *[F.col(k).alias(name) for k, name in zip(keys, fresh)]]
+    v_side = left.withColumn("_g", group_of).select(
+        *shared, "chunk_id", "paper_id", "chunk_index", "embedding"
+    )
+    q_side = right.withColumn("_g", group_of).select(*shared, "query_id", "embedding")
+    return v_side.groupBy(*group).cogroup(q_side.groupBy(*group)).applyInPandas(run, HIT)
 
 
 def nearest(
