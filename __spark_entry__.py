@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -839,9 +840,26 @@ def entry(spark: SparkSession) -> DataFrame:
     return bm25_topk(spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and oracles of the subpackage for training data; none if it has been removed."""
+    found, oracles = {}, {}
+    if importlib.util.find_spec("litweave.llm"):
+        from litweave.llm.queries import ORACLES, QUERIES
+
+        found, oracles = dict(QUERIES), dict(ORACLES)
+        if importlib.util.find_spec("corpus_pipeline"):
+            import corpus_pipeline
+
+            cloudpickle.register_pickle_by_value(corpus_pipeline)
+            found["pipeline"] = corpus_pipeline.run
+            if corpus_pipeline.ORACLE_SQL:
+                oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, oracles
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | _training_data()[1]
