@@ -10,6 +10,8 @@ from .common import WHITE_SPACE, partitions, row_of, written
 
 #: Rows of one text that one sorted run may hold; a text with more is spread over several runs.
 RUN_ROWS = 4096
+#: Characters of a text by which splitters are chosen and rows sorted first.
+HEAD = 64
 
 
 def normalised(text: Column) -> Column:
@@ -27,7 +29,8 @@ def exact_groups(
     `text_sha256` (of the normalised text).
 
     The normalised bytes are dealt out by sampled splitters (`repartitionByRange`) and sorted
-    externally; the window over the sorted rows compares each text in full with its neighbour.
+    externally, first by their heads; the window over the sorted rows compares each text in full
+    with its neighbour.
     Equal texts may be a third of all rows, so a first pass counts digests (combined map-side) and
     those with more than `run_rows` rows are spread over several runs; the totals of such a text
     come from that count. The texts themselves move once.
@@ -51,8 +54,12 @@ def exact_groups(
     salted = rows.join(large, "text_sha256", "left").withColumn(
         "run", F.when(runs > 1, F.pmod(F.xxhash64("id"), runs)).otherwise(F.lit(0))
     )
-    ranged = salted.repartitionByRange(partitions(df.sparkSession), "norm", "run")
-    same = W.partitionBy("norm", "run")
+    # Splitters are sampled from the head of the text and its digest, so the sample that the driver
+    # gets is small however long the texts are; equal texts have equal heads and digests.
+    ranged = salted.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange(
+        partitions(df.sparkSession), "head", "text_sha256", "run"
+    )
+    same = W.partitionBy("head", "text_sha256", "run", "norm")
     ordered = ranged.select(
         "row",
         "id",
