@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,19 +106,21 @@ class _Packer:
         )
         order = np.argsort(bucket, kind="stable")
         bounds = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-        packed = []
+        packed, shrink = [], zstandard.ZstdCompressor(level=6).compress
         for a, b in zip(bounds[:-1], bounds[1:]):
             own = order[a:b]
             head = np.array([b - a], np.int64).tobytes()
-            columns = [x[own].tobytes() for x in (doc, key, first, size)]
-            packed.append(zlib.compress(b"".join([head, *columns, b" ".join([self.text[i] for i in own])]), 1))
+            steps = np.diff(doc[own], prepend=0)  # documents come in order, so these are small
+            columns = [x.tobytes() for x in (steps, key[own], first[own], size[own])]
+            packed.append(shrink(b"".join([head, *columns, b" ".join([self.text[i] for i in own])])))
         return pd.DataFrame({"bucket": bucket[order[bounds[:-1]]].astype(np.int32), "packed": packed})
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    raw = zlib.decompress(packed)
+    raw = zstandard.decompress(packed)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    doc, key = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * k) for k in range(2))
+    steps, key = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * k) for k in range(2))
+    doc = np.cumsum(steps)
     first, size = (np.frombuffer(raw, np.int32, n, 8 + 16 * n + 4 * n * k) for k in range(2))
     return doc, key, first, size, raw[8 + 24 * n :]
 
@@ -315,14 +318,15 @@ def without_repeats(
     same document, so repeats among them stay; a window that occurs twice in one document only
     stays; an empty table gives no rows. Only the two named columns are read.
     """
-    rows = df.select(row_of(df).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(row_of(df).alias("row"))
+    text = F.col(f"row.`{text_col}`")
     docs = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     ).withColumn("text_key", _text_key(F.col("text")))
     ranges = repeated_ranges(docs, window).groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("first", "after")).alias("ranges")
     )
-    keyed = rows.withColumn("key", _text_key(F.col("text")))
+    keyed = rows.withColumns({"id": F.col(f"row.`{id_col}`").cast("long"), "key": _text_key(text)})
     met = keyed.join(ranges, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
-    cut = met.select("row", _without("text", F.col("ranges.first"), F.col("ranges.after")).alias("cut"))
+    cut = met.select("row", _without(text, F.col("ranges.first"), F.col("ranges.after")).alias("cut"))
     return cut.select("row", F.col("cut.kept").alias("kept_text"), F.col("cut.n_words").alias("n_words"), F.col("cut.n_removed").alias("n_removed"))
