@@ -247,11 +247,8 @@ def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     documents = inputs.table(spark, sf, "documents")
     path = new_folder(spark, "chunk-store")
     for run in range(2):
-        stream = (
-            spark.readStream.schema(documents.schema)
-            .option("pathGlobFilter", "documents.parquet")
-            .parquet(sf)
-        )
+        # A table may be one file or a directory of files; only as a pattern the path may be either.
+        stream = spark.readStream.schema(documents.schema).parquet(f"{sf}/documents.parque[t]")
         papers = inputs.papers_of(stream)
         ingest_stream(papers, path, new_folder(spark, f"stream-{run}")).awaitTermination()
     return store.all_chunks(spark, path)
@@ -333,7 +330,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 def vector_topk_joined(spark: SparkSession, sf: str) -> DataFrame:
     """The same through the block join that serves large query sets."""
     hits = vectors.nearest(
-        _doc_vectors(spark, sf), inputs.queries(spark, sf), 8, query_limit=0
+        _doc_vectors(spark, sf), inputs.queries(spark, sf), 8
     )
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
@@ -364,16 +361,41 @@ def hybrid_year_filter(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 
+def _dated(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.substring("query_id", 2, 9).cast("int")
+    return inputs.queries(spark, sf).withColumn("year_min", 2003 + number % 5 * 4)
+
+
 @query("hybrid_year_scopes", HITS.format("zh"))
 def hybrid_year_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Every query with a year limit of its own."""
-    number = F.substring("query_id", 2, 9).cast("int")
-    asked = inputs.queries(spark, sf).withColumn("year_min", 2003 + number % 5 * 4)
+    asked = _dated(spark, sf)
     corpus = fusion.with_year_scopes(inputs.doc_chunks(spark, sf), asked)
     hits = fusion.hybrid_search(corpus, inputs.vectors(spark, sf), asked, scope=["year_min"])
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 
+@query(
+    "hybrid_mixed_filters",
+    """SELECT 'n' || query_id AS query_id, chunk_id, round(score, 6) AS score, rank FROM dh
+    UNION ALL SELECT 'y' || query_id, chunk_id, round(score, 6), rank FROM zh
+    UNION ALL SELECT 'p' || query_id, chunk_id, round(score, 6), rank FROM vh""",
+)
+def hybrid_mixed_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries without a filter, with a year and with a paper in one call."""
+    free = inputs.queries(spark, sf)
+    none = {"year_min": F.lit(None).cast("int"), "paper_id": F.lit(" ")}
+    in_paper = inputs.vector_queries(spark, sf)
+    asked = (
+        free.withColumns(none)
+        .withColumn("query_id", F.concat(F.lit("n"), "query_id"))
+        .unionByName(_dated(spark, sf).withColumns({"paper_id": F.lit(""), "query_id": F.concat(F.lit("y"), "query_id")}))
+        .unionByName(in_paper.withColumns({"year_min": none["year_min"], "query_id": F.concat(F.lit("p"), "query_id")}))
+    )
+    hits = fusion.mixed_search(inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), asked)
+    return hits.select("query_id", "chunk_id", _score(), "rank")
+
+
 @query("hybrid_in_paper", HITS.format("vh"))
 def hybrid_in_paper(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.hybrid_search(
@@ -419,13 +441,13 @@ def observation_pool(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT query_id, term, min(pos) AS pos FROM (
       SELECT query_id, 0 AS pos, text AS term FROM items
       UNION ALL SELECT i.query_id, 1 + d.doc_id % 3, d.source FROM items i
-        JOIN documents d ON d.doc_id % 40 = i.item_id) GROUP BY query_id, term""",
+        JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = i.item_id) GROUP BY query_id, term""",
 )
 def expanded_topics(spark: SparkSession, sf: str) -> DataFrame:
     topics = inputs.queries(spark, sf)
     items = inputs.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("topic"))
     documents = inputs.table(spark, sf, "documents").select("doc_id", "source")
-    expansions = documents.join(items, F.col("doc_id") % 40 == F.col("item_id")).select(
+    expansions = inputs.with_passage(spark, sf, documents, "doc_id", items).select(
         "topic", (F.col("doc_id") % 3).cast("int").alias("pos"), F.col("source").alias("term")
     )
     return candidates.expand_topics(topics, expansions)
@@ -568,12 +590,12 @@ def missing_cards(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9一-鿿]+')) AS st
       FROM documents) d
     JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9一-鿿]+')) AS qt
-      FROM benchmark) b ON b.item_id = d.doc_id % 40""",
+      FROM benchmark) b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""",
 )
 def quote_overlap(spark: SparkSession, sf: str) -> DataFrame:
     items = inputs.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
     documents = inputs.table(spark, sf, "documents").select("doc_id", "text")
-    pairs = documents.join(items, F.col("doc_id") % 40 == F.col("item_id"))
+    pairs = inputs.with_passage(spark, sf, documents, "doc_id", items)
     return pairs.select("doc_id", text.overlap_ok(F.col("quote"), F.col("text")).alias("ok"))
 
 
@@ -815,7 +837,7 @@ def topic_map(spark: SparkSession, sf: str) -> DataFrame:
         inputs.trace(spark, sf).withColumnsRenamed(rename),
         inputs.finals(spark, sf).withColumnsRenamed(rename),
         inputs.card_raw(spark, sf).select("paper_id", "final_text"),
-        inputs.drafts(spark, sf),
+        inputs.drafts(spark, sf).withColumn("task_id", F.regexp_replace("task_id", "^t", "q")),
     )
 
     def count(df: DataFrame, name: str) -> DataFrame:

@@ -285,12 +285,12 @@ fused("zh", "zv", "zk_ranked", "24", "8")
 
 cte("paper_items", f"""
   SELECT 'p' || doc_id AS query_id, {pid('doc_id')} AS paper_id, b.text
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 bm25("sk", "chunk_table", "paper_items", "paper_id")
 cte("vector_items", f"""
   SELECT 'v' || vec_id AS query_id, {pid('vec_id')} AS paper_id, b.text,
     CAST(embedding AS DOUBLE[]) AS embedding
-  FROM embeddings JOIN benchmark b ON b.item_id = vec_id % 40""")
+  FROM embeddings JOIN benchmark b ON b.item_id = vec_id % (SELECT count(*) FROM benchmark)""")
 bm25("vk", "doc_chunks", "vector_items", "paper_id")
 nearest("vv", "doc_chunks", "vector_items", "paper_id")
 fused("vh", "vv", "vk_ranked", "24", "8")
@@ -300,10 +300,10 @@ cte("final_texts", f"""
   SELECT 'q' || item_id AS query_id, 'Candidates: ' || {pid('item_id * 2')} || ', xx' ||
     {pid('item_id')} || chr(10) || {pid('item_id + 3')} AS final_text FROM benchmark""")
 cte("trace_rows", f"""
-  SELECT 'q' || (conv_id % 40) AS query_id, conv_id * 1000 + turn AS seq,
+  SELECT 'q' || (conv_id % (SELECT count(*) FROM benchmark)) AS query_id, conv_id * 1000 + turn AS seq,
     CASE WHEN role = 'assistant' THEN 'observe' ELSE 'act' END AS type,
     CASE WHEN conv_id % 3 = 0 AND turn = 1
-      THEN {pid('conv_id * 5')} || ' ' || substr(text, 1, 150) ELSE text END AS result_preview
+      THEN {pid('conv_id * 5')} || ' ' || text ELSE text END AS result_preview
   FROM conversations""")
 cte("named_ids", r"""
   SELECT query_id, seq, unnest(regexp_extract_all(t, '\b[0-9a-f]{12}\b')) AS paper_id,
@@ -353,11 +353,11 @@ cte("card_json", f"""
     ',"limitations":["small data"," small data ","' || CASE WHEN l.quality IS NULL
       THEN 'not labelled' ELSE 'quality ' || l.quality || ' toxic ' || l.toxic END || '"]' ||
     ',"evidence_spans":' || CASE d.doc_id % 7 WHEN 0 THEN '[]'
-      WHEN 1 THEN '"' || {CLEAN.format("substr(d.text, 1 + d.doc_id % 50, 90)")} || '"'
-      ELSE '[{{"quote":"' || {CLEAN.format("substr(d.text, 1 + d.doc_id % 50, 90)")} ||
-        '","page":' || (d.doc_id % 3) || '}},"' || {CLEAN.format("substr(b.text, 1, 80)")} ||
+      WHEN 1 THEN '"' || {CLEAN.format("coalesce(string_split(d.text, chr(10))[d.doc_id % 3 + 1], '')")} || '"'
+      ELSE '[{{"quote":"' || {CLEAN.format("coalesce(string_split(d.text, chr(10))[d.doc_id % 3 + 1], '')")} ||
+        '","page":' || (d.doc_id % 3) || '}},"' || {CLEAN.format("b.text")} ||
         '",{{"page":1}},"tiny"]' END || '}}' AS body
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
   LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 cte("card_raw", """
   SELECT task_id, pos, paper_id, doc_id, CASE
@@ -558,8 +558,9 @@ cte("reviews", """
   SELECT task_id, string_agg(glue || text, '' ORDER BY part, p1, p2) AS review
   FROM pieces GROUP BY task_id""")
 cte("drafts", """
-  SELECT 't' || doc_id AS task_id, CASE WHEN doc_id % 3 = 0 THEN text || ' TODO' ELSE text END
-    AS final_text FROM documents""")
+  SELECT 't' || (doc_id // 8) AS task_id,
+    arg_max(CASE WHEN doc_id % 3 = 0 THEN text || ' TODO' ELSE text END, doc_id) AS final_text
+  FROM documents GROUP BY doc_id // 8""")
 cte("chosen", f"""
   SELECT r.task_id, CASE WHEN ok THEN best ELSE review END AS review, ok AS supplied FROM (
     SELECT task_id, review, best, length(best) >= 300 AND NOT regexp_matches(lower(best),

@@ -137,11 +137,22 @@ def paper_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_papers(chunks(spark, sf_dir))
 
 
+def passages(spark: SparkSession, sf_dir: str) -> Column:
+    """How many benchmark passages there are."""
+    return table(spark, sf_dir, "benchmark").select(F.count("*")).scalar()
+
+
+def with_passage(spark: SparkSession, sf_dir: str, df: DataFrame, number: str, items: DataFrame) -> DataFrame:
+    """Each row with the passage of items(item_id, …) that its number falls to."""
+    numbered = df.withColumn("item_id", F.col(number) % passages(spark, sf_dir))
+    return numbered.join(items, "item_id")
+
+
 def paper_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per document, to be answered inside that document."""
     documents = table(spark, sf_dir, "documents").select("doc_id")
     items = table(spark, sf_dir, "benchmark")
-    return documents.join(items, F.col("doc_id") % 40 == F.col("item_id")).select(
+    return with_passage(spark, sf_dir, documents, "doc_id", items).select(
         F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("query_id"),
         paper_id(F.col("doc_id")).alias("paper_id"),
         "text",
@@ -152,7 +163,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per embedding, to be answered inside the document of the same number."""
     items = table(spark, sf_dir, "benchmark")
     own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return own.join(items, F.col("vec_id") % 40 == F.col("item_id")).select(
+    return with_passage(spark, sf_dir, own, "vec_id", items).select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("query_id"),
         paper_id(F.col("vec_id")).alias("paper_id"),
         "text",
@@ -177,10 +188,10 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     preview = F.when(
         (conv % 3 == 0) & (turn == 1),
-        F.concat(paper_id(conv * 5), F.lit(" "), F.substring("text", 1, 150)),
+        F.concat(paper_id(conv * 5), F.lit(" "), F.col("text")),
     ).otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("q"), (conv % 40).cast("string")).alias("query_id"),
+        F.concat(F.lit("q"), (conv % passages(spark, sf_dir)).cast("string")).alias("query_id"),
         (conv * 1000 + turn).alias("seq"),
         F.when(F.col("role") == "assistant", "observe").otherwise("act").alias("type"),
         preview.alias("result_preview"),
@@ -196,9 +207,7 @@ def card_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     rated = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
-    rows = documents.join(items, F.col("doc_id") % 40 == F.col("item_id")).join(
-        rated, "doc_id", "left"
-    )
+    rows = with_passage(spark, sf_dir, documents, "doc_id", items).join(rated, "doc_id", "left")
     doc = F.col("doc_id")
 
     def s(c: Column) -> Column:
@@ -210,7 +219,7 @@ def card_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = out.when(doc % n == i, value)
         return out.otherwise(last)
 
-    own_quote = _clean(F.substr(F.col("text"), 1 + (doc % 50).cast("int"), F.lit(90)))
+    own_quote = _clean(F.coalesce(F.get(F.split("text", "\n"), (doc % 3).cast("int")), F.lit("")))
     rating = F.when(F.col("quality").isNull(), F.lit("not labelled")).otherwise(
         F.concat(F.lit("quality "), s(F.col("quality")), F.lit(" toxic "), s(F.col("toxic")))
     )
@@ -249,7 +258,7 @@ def card_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit('"'), own_quote, F.lit('"')),
             last=F.concat(
                 F.lit('[{"quote":"'), own_quote, F.lit('","page":'), s(doc % 3), F.lit('},"'),
-                _clean(F.substring("passage", 1, 80)), F.lit('",{"page":1},"tiny"]'),
+                _clean(F.col("passage")), F.lit('",{"page":1},"tiny"]'),
             ),
         ),
         F.lit("}"),
@@ -304,12 +313,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review texts a model might have written, some with placeholders."""
+    """The review text a model wrote last for each task, some with placeholders."""
     doc = F.col("doc_id")
     text = F.when(doc % 3 == 0, F.concat("text", F.lit(" TODO"))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("t"), doc.cast("string")).alias("task_id"), text.alias("final_text")
+    written_by = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("t"), F.floor(doc / 8).cast("string")).alias("task_id"), "doc_id", text.alias("final_text")
     )
+    return written_by.groupBy("task_id").agg(F.max_by("final_text", "doc_id").alias("final_text"))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:

@@ -6,8 +6,7 @@ statistics are joined to the query side, which is small, so the corpus meets the
 equi-join on (scope, term).
 
 The weighed query terms are written to the shared folder before that join, so Spark knows their
-size. Below its broadcast threshold they are sent to the tasks: chunks, spread by chunk_id before
-they are tokenised, then get their scores in place, and only each task's best n rows per query
+size. Below its broadcast threshold they are sent to the tasks: chunks then get their scores in place, and only each task's best n rows per query
 are shuffled. Above it Spark shuffles by term, and adaptive execution splits the partitions of
 very common terms.
 """
@@ -52,7 +51,7 @@ def hit_order() -> list[Column]:
 def postings(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, chunk, dl, term, tf): one row per distinct term of a chunk."""
     keys = _keys(*scope, *CHUNK_KEYS)
-    texts = chunks.select(*keys, "text").repartition("chunk_id")
+    texts = chunks.select(*keys, "text")
 
     def rows(tokens: Column) -> Column:
         # The length goes into the exploded rows: beside them it would be counted once per row.

@@ -29,12 +29,15 @@ def with_year_scopes(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Chunks once per distinct `year_min` of the queries they satisfy.
 
     For query sets in which every query has its own year limit: search the result with
-    `scope=["year_min"]`, and the statistics of each limit are those of its own corpus. Years end
-    at a known maximum, so the comparison is an equi-join on the year.
+    `scope=["year_min"]`, and the statistics of each limit are those of its own corpus. The last
+    year is that of the newest chunk, so the comparison is an equi-join on the year. Queries
+    without a limit match nothing here; `mixed_search` takes them.
     """
+    newest = chunks.select(F.max("year")).scalar()
     limits = queries.select("year_min").where("year_min is not null").distinct()
-    years = F.sequence(F.col("year_min"), F.lit(fixed.MAX_CREATION_YEAR))
-    return chunks.join(limits.select("year_min", F.explode(years).alias("year")), "year")
+    reached = limits.withColumn("newest", newest).where("year_min <= newest")
+    years = F.explode(F.sequence("year_min", "newest")).alias("year")
+    return chunks.join(reached.select("year_min", years), "year")
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
@@ -96,6 +99,32 @@ def hybrid_search(
     return ranked.select("query_id", *CHUNK_KEYS, fused_score().alias("score"), "rank")
 
 
+def mixed_search(
+    chunks: DataFrame,
+    vectors: DataFrame | None,
+    queries: DataFrame,
+    top_k: int = fixed.DEFAULT_TOP_K,
+) -> DataFrame:
+    """Hybrid retrieval for queries(query_id, text, embedding, year_min, paper_id) that each have
+    both filters, one, or none: a null year and a null or blank paper are no filter.
+
+    Queries with the same kind of filter are answered together, each in the corpus and with the
+    statistics of its own filter.
+    """
+    by_year = F.col("year_min").isNotNull()
+    by_paper = F.trim(F.coalesce("paper_id", F.lit(""))) != ""
+    own = queries.where(by_paper & by_year)
+    in_paper = chunks.join(own.select("paper_id").distinct(), "paper_id", "left_semi")
+    dated = queries.where(by_year & ~by_paper).drop("paper_id")
+    found = [
+        hybrid_search(chunks, vectors, queries.where(~by_year & ~by_paper).drop("year_min", "paper_id"), top_k),
+        hybrid_search(chunks, vectors, queries.where(by_paper & ~by_year).drop("year_min"), top_k, scope=["paper_id"]),
+        hybrid_search(with_year_scopes(chunks, dated), vectors, dated, top_k, scope=["year_min"]),
+        hybrid_search(with_year_scopes(in_paper, own), vectors, own, top_k, scope=["paper_id", "year_min"]),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 def fused_score() -> Column:
     return round_exact(F.col("raw"), 6)
 

@@ -11,14 +11,16 @@ from litweave.functions.text import cut, file_slug
 from litweave.operators.graph import Graph
 
 
-def export_md(reviews: DataFrame, folder: str) -> DataFrame:
+def export_md(reviews: DataFrame, folder: str, order: str = "task_id") -> DataFrame:
     """Write reviews(task_id, title, content) below `folder`, one directory per title slug.
 
-    Returns (task_id, path). Equal slugs share a directory, the later export replaces it.
+    Returns (task_id, path). Equal slugs share a directory: of one call the review with the largest
+    `order` is written, and a later call replaces it.
     """
     named = reviews.withColumn("slug", file_slug(F.col("title")))
+    last = named.groupBy("slug").agg(F.max_by("content", F.struct(order, "task_id")).alias("content"))
     options = {"partitionOverwriteMode": "dynamic"}
-    named.select("slug", "content").write.options(**options).mode("overwrite").partitionBy(
+    last.select("slug", "content").write.options(**options).mode("overwrite").partitionBy(
         "slug"
     ).text(folder)
     return named.select("task_id", review_path(folder, F.col("slug")).alias("path"))
@@ -65,8 +67,9 @@ def graph_records(graph: Graph) -> DataFrame:
 
 
 def export_graph(graph: Graph, folder: str) -> None:
-    records = graph_records(graph).select("task_id", "record")
-    records.write.mode("overwrite").partitionBy("task_id").text(folder)
+    """One directory per task with JSON lines (kind, part, p1, p2, record), in reading order."""
+    records = graph_records(graph).repartition("task_id").sortWithinPartitions("task_id", "kind", "part", "p1", "p2")
+    records.write.mode("overwrite").partitionBy("task_id").json(folder)
 
 
 def spill_large(
@@ -84,3 +87,14 @@ def spill_large(
 def spilled_texts(df: DataFrame, content: str, threshold: int = fixed.SPILL_THRESHOLD) -> DataFrame:
     """The rows whose text goes to the side table."""
     return df.where(F.length(content) > threshold)
+
+
+def spill(
+    df: DataFrame, content: str, path: Column, folder: str, threshold: int = fixed.SPILL_THRESHOLD,
+    language: str = "zh",
+) -> DataFrame:
+    """Append (path, content) of the texts above the threshold to the side table in `folder`, and
+    return `df` with pointers in their place."""
+    large = spilled_texts(df, content, threshold).select(path.alias("path"), F.col(content).alias("content"))
+    large.write.mode("append").parquet(folder)
+    return spill_large(df, content, path, threshold, language)
