@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Different pieces of text that a task remembers; then it starts afresh.
 REMEMBERED = 500_000
+#: Texts of a batch that are put together, or taken apart, at a time.
+SLICE = 250
 
 
 def byte_letters() -> list[str]:
@@ -173,7 +175,12 @@ class Encoder:
             numbers.append(np.fromiter(map(known.__getitem__, cut), np.int32, len(cut)))
         if len(known) > done:
             self._learn(list(islice(known, done, None)))
-        number = np.concatenate([np.empty(0, np.int32), *numbers])
+        done = [self._ids(numbers[at : at + SLICE]) for at in range(0, len(numbers), SLICE)]
+        return tuple(np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.int32, np.int64), zip(*done) if done else ((), ())))
+
+    def _ids(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number per text of texts given by the numbers of their pieces."""
+        number = np.concatenate(numbers)
         sizes = self.sizes[number]
         ends = np.cumsum(sizes)
         step = np.arange(len(number) and int(ends[-1])) - np.repeat(ends - sizes, sizes)
@@ -222,12 +229,13 @@ def decoder(file: str) -> Callable[[Column], Column]:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = Vocabulary(_local(file)).tokens
         for lists in batches:
-            flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-            ends = np.cumsum(np.fromiter((0 if n is None else n for n in lists.value_lengths().to_pylist()), np.int64, len(lists))).tolist()
-            texts, at = [], 0
-            for end in ends:
-                texts.append(b"".join([tokens[i] for i in flat[at:end]]).decode("utf-8", "replace"))
-                at = end
+            texts = []
+            for part in (lists.slice(at, SLICE) for at in range(0, len(lists), SLICE)):
+                flat = part.flatten().to_numpy(zero_copy_only=False).tolist()
+                at = 0
+                for n in part.value_lengths().to_pylist():
+                    texts.append(b"".join([tokens[i] for i in flat[at : at + (n or 0)]]).decode("utf-8", "replace"))
+                    at += n or 0
             yield pa.array(texts, pa.string())
 
     return decode

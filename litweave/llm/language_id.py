@@ -18,6 +18,8 @@ from .common import seeded_rank
 SAMPLE_TEXTS, PIECES, PIECE = 1000, 3, 96
 #: States per direction; bytes read at a time when labelling; windows advanced together.
 HIDDEN, SPAN, LANES = 8, 96, 2048
+#: Bytes of texts that are labelled together.
+TOGETHER = 2_000_000
 STEPS, BATCH, RATE = 300, 192, 0.02
 PAD = 256
 UNKNOWN = "und"
@@ -90,14 +92,14 @@ class Network:
         """Mean label probabilities of each text over all its bytes: texts × L; zeros for no byte."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         spans = -(-sizes // SPAN)
-        flat = np.full(int(spans.sum()) * SPAN, PAD, np.intp)
+        flat = np.full(int(spans.sum()) * SPAN, PAD, np.uint16)
         every = np.frombuffer(b"".join(texts), np.uint8)
         starts = (np.cumsum(spans) - spans) * SPAN
         flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(every))] = every
         windows = flat.reshape(-1, SPAN)
         sums = np.zeros((len(windows), len(self.languages)))
         for at in range(0, len(windows), LANES):
-            x = np.ascontiguousarray(windows[at : at + LANES].T)
+            x = windows[at : at + LANES].T.astype(np.intp, order="C")
             p = self.labels(x)
             p *= (x != PAD)[:, None, :]
             sums[at : at + LANES] = p.sum(0).T
@@ -177,12 +179,15 @@ def training_pieces(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, list[s
     At most SAMPLE_TEXTS texts per language, in a fixed pseudo-random order, and PIECES pieces of
     PIECE characters of each, from pseudo-random places of the whole text.
     """
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(seeded_rank(F.col("doc_id"), 5), "doc_id"))
     some = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    some = some.withColumn("nth", rank).where(F.col("nth") <= SAMPLE_TEXTS)
     room = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
     place = [1 + F.pmod(seeded_rank(F.col("doc_id"), 100 + k), room).cast("int") for k in range(PIECES)]
-    pieces = some.select("lang", F.explode(F.array(*[F.substring(F.col("text"), p, F.lit(PIECE)) for p in place])).alias("piece"))
+    cut = F.array(*[F.substring(F.col("text"), p, F.lit(PIECE)) for p in place])
+    # Pieces are cut first, so that whole texts don't travel.
+    ranked = some.select("lang", "doc_id", cut.alias("pieces"), F.xxhash64("text").alias("key"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(seeded_rank(F.col("doc_id"), 5), "doc_id", "key"))
+    chosen = ranked.withColumn("nth", rank).where(F.col("nth") <= SAMPLE_TEXTS)
+    pieces = chosen.select("lang", F.explode("pieces").alias("piece"))
     rows = sorted((r["lang"], r["piece"]) for r in pieces.collect())
     names = sorted({r[0] for r in rows})
     x = np.full((len(rows), PIECE), PAD, np.intp)
@@ -206,6 +211,19 @@ def trained(labelled: DataFrame) -> Network | None:
     return net
 
 
+def _slices(data: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in order, some TOGETHER bytes at a time."""
+    part, size = [], 0
+    for text in data:
+        part.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def predictor(net: Network | None):
     """Column function text → struct(lang_pred, score)."""
 
@@ -215,7 +233,8 @@ def predictor(net: Network | None):
             out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0}, index=range(len(texts)), dtype=object)
             some = [] if net is None else [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
             if some:
-                p = net.pooled([texts.iloc[i].encode("utf-8", "surrogatepass") for i in some])
+                data = [texts.iloc[i].encode("utf-8", "surrogatepass") for i in some]
+                p = np.concatenate([net.pooled(part) for part in _slices(data)])
                 out.loc[some, "lang_pred"] = np.array(net.languages, object)[p.argmax(1)]
                 out.loc[some, "score"] = np.minimum(1.0, p.max(1))
             yield out.astype({"score": float})
