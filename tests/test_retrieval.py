@@ -150,8 +150,8 @@ def plain_nearest(rows, query, n):
     return [(c, -s) for s, _, _, c in sorted(scored)[:n]]
 
 
-@pytest.mark.parametrize("limit,n", [(4096, 5), (0, 5), (4096, None), (0, None)])
-def test_nearest(spark, monkeypatch, limit, n):
+@pytest.mark.parametrize("n", [5, None])
+def test_nearest(spark, monkeypatch, n):
     monkeypatch.setattr(V, "SCORE_CELLS", 40)
     monkeypatch.setattr(V, "VECTOR_BLOCK", 7)
     monkeypatch.setattr(V, "QUERY_BLOCK", 2)
@@ -159,7 +159,7 @@ def test_nearest(spark, monkeypatch, limit, n):
     qs = [(f"q{k}", rows[k * 3][3]) for k in range(5)]
     asked = queries(spark, qs + [("none", None)], "query_id string, embedding array<float>")
     stored = spark.createDataFrame(rows, VEC)
-    got = ranked(V.nearest(stored, asked, n, query_limit=limit))
+    got = ranked(V.nearest(stored, asked, n))
     assert set(got) == {q for q, _ in qs}
     for qid, e in qs:
         want = plain_nearest(rows, e, n or len(rows))
