@@ -189,7 +189,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Models, float, float]:
     n = partitions(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int")).distinct()
     calibrates = F.pmod(seeded_rank(F.col("doc_id"), 21), F.lit(4)) == 0
-    counted = docs.where(~calibrates).join(known, "doc_id").select("text", "toxic").mapInPandas(_gather, "part int, packed binary")
+    # Labels grow with the texts, so both are always dealt out by identifier.
+    counted = docs.where(~calibrates).join(known.hint("merge"), "doc_id").select("text", "toxic").mapInPandas(_gather, "part int, packed binary")
     sums = counted.repartition(n, "part").sortWithinPartitions("part").mapInPandas(
         _count, "kind string, at long, v0 double, v1 double, v2 double, v3 double"
     )
