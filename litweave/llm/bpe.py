@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 #: How byte-level tokenizers cut text before merging (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Different pieces of text that a task remembers; then it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Pieces that are indexed together.
+INDEXED = 150_000
 #: Texts of a batch that are put together, or taken apart, at a time.
 SLICE = 250
 
@@ -65,7 +67,7 @@ class Vocabulary:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 for pairs that never merge."""
-        keys = (left << 32) | right
+        keys = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.rank_of[at], -1)
 
@@ -77,13 +79,13 @@ class Vocabulary:
         both sides enter the lists of their ranks. Places whose pair has changed since are skipped.
         """
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        symbol = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        symbol = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
         n = len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         edge = np.cumsum(sizes)
         after[edge[sizes > 0] - 1] = n  # n: nothing follows
         before[(edge - sizes)[sizes > 0]] = n
-        symbol, after, before = np.append(symbol, -1), np.append(after, n), np.append(before, n)
+        symbol, after, before = (np.append(x, np.int32(v)) for x, v in ((symbol, -1), (after, n), (before, n)))
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -101,7 +103,7 @@ class Vocabulary:
                     heapq.heappush(active, r)
                 index[r].append(places[a:b])
 
-        enter(np.arange(n))
+        enter(np.arange(n, dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             places = np.sort(np.concatenate(index.pop(r)))
@@ -142,7 +144,8 @@ class Encoder:
         """Append the ids of new pieces, which follow the known ones."""
         special = self.vocabulary.special
         plain = [b"" if p in special else p.encode("utf-8", "surrogatepass") for p in pieces]
-        ids, sizes = self.vocabulary.merged(plain)
+        parts = [self.vocabulary.merged(plain[at : at + INDEXED]) for at in range(0, len(plain), INDEXED)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
         for k in [k for k, p in enumerate(plain) if not p]:
             ids = np.insert(ids, int(sizes[:k].sum()), special[pieces[k]])
             sizes[k] = 1
