@@ -253,3 +253,9 @@ def test_choice(spark, final, stored, want):
     finals = spark.createDataFrame([("t", final)], "task_id string, final_text string")
     existing = spark.createDataFrame([("t", stored)], "task_id string, stored_text string")
     assert review.choose_review(reviews, finals, existing).first().review == want
+
+
+def test_lists_in_issues_are_quoted(spark):
+    items = ["plain", "it's", 'say "x"', "it's \"x\"", "back\\slash", "line\nbreak"]
+    df = spark.createDataFrame([(items,)], "a array<string>")
+    assert df.select(quality._quoted(F.col("a"))).first()[0] == repr(items)

@@ -12,7 +12,7 @@ from litweave.operators.bm25 import bm25, term_statistics
 from litweave.operators.candidates import (
     expand_topics, merge_candidates, named_papers, paper_rollup, topic_candidates,
 )
-from litweave.operators.fusion import fuse, fused_order, hybrid_search, paper_filter, rag_query
+from litweave.operators.fusion import fuse, fused_order, hybrid_search, mixed_search, paper_filter, rag_query
 from litweave.operators.ranking import rank_all, top_n
 
 CHUNK = "chunk_id string, paper_id string, text string, title string, year int, source string, section string, page int, start_page int, chunk_index int"
@@ -292,3 +292,35 @@ def test_expansion_is_the_identity_without_a_table(spark):
     more = spark.createDataFrame([("graphs", 0, "networks"), ("other", 0, "x")], "topic string, pos int, term string")
     got = expand_topics(topics, more).orderBy("pos").collect()
     assert [r.term for r in got] == ["graphs", "networks"]
+
+
+# --- mixed filters ------------------------------------------------------------------
+
+
+def _corpus(spark):
+    rows = [
+        (f"{p}_{i}", p, i, f"graph words number {i} of {p}", year)
+        for p, year in (("a1", 2001), ("b2", 2010), ("c3", 2150))
+        for i in range(4)
+    ]
+    return spark.createDataFrame(rows, "chunk_id string, paper_id string, chunk_index int, text string, year int")
+
+
+def test_queries_without_year_or_paper_are_answered(spark):
+    asked = spark.createDataFrame(
+        [
+            ("none", "graph words", None, None), ("blank", "graph words", None, "  "), ("year", "graph words", 2005, ""),
+            ("late", "graph words", 2101, None), ("never", "graph words", 2200, None), ("paper", "graph words", None, "a1"),
+            ("both", "graph words", 2005, "b2"), ("apart", "graph words", 2005, "a1"),
+        ],
+        "query_id string, text string, year_min int, paper_id string",
+    )
+    found = mixed_search(_corpus(spark), None, asked, 20).collect()
+    papers = {}
+    for r in found:
+        papers.setdefault(r["query_id"], []).append(r["paper_id"])
+    assert {q: sorted(set(p)) for q, p in papers.items()} == {
+        "none": ["a1", "b2", "c3"], "blank": ["a1", "b2", "c3"], "year": ["b2", "c3"], "late": ["c3"],
+        "paper": ["a1"], "both": ["b2"],
+    }
+    assert len(papers["none"]) == 12 and len(papers["paper"]) == 4

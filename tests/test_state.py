@@ -88,6 +88,20 @@ def test_reviews_and_graphs_are_exported(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/md/slug=review_deep_nets").count() == 2
 
 
+def test_of_equal_slugs_the_last_is_written(spark, tmp_path):
+    reviews = spark.createDataFrame([("a", "Deep Nets", "AAA"), ("b", "deep nets!", "BBB")], "task_id string, title string, content string")
+    paths = exports.export_md(reviews, str(tmp_path / "md"))
+    assert paths.select("path").distinct().count() == 1
+    assert spark.read.text(str(tmp_path / "md"), wholetext=True).first()[0] == "BBB\n"
+
+
+def test_spilled_texts_are_stored(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x" * 5000), (2, "short")], "i int, c string")
+    kept = exports.spill(df, "c", F.concat(F.lit("/p/"), F.col("i").cast("string")), str(tmp_path / "side"))
+    assert kept.where("i = 2").first().c == "short" and kept.where("i = 1").first().c != "x" * 5000
+    assert spark.read.parquet(str(tmp_path / "side")).collect() == [("/p/1", "x" * 5000)]
+
+
 def test_graph_export(spark, sf, tmp_path):
     import driver_tables as inputs
 
