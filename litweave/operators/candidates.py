@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from litweave import fixed
 from litweave.functions.text import cut, paper_ids_in
-from litweave.operators.bm25 import bm25
+from litweave.operators.bm25 import CHUNK_KEYS, bm25, keyword_ranks, term_statistics
 from litweave.operators.fusion import fuse, fused_order, fused_score, located
 from litweave.operators.ranking import rank_all, top_n
-from litweave.operators.vectors import nearest
+from litweave.operators.vectors import nearest, vector_ranks
+from litweave.session import written
+
+#: Depth of the first heads; it changes the work, not the result.
+FIRST_DEPTH = 128
 
 
 def expand_topics(topics: DataFrame, expansions: DataFrame | None = None) -> DataFrame:
@@ -66,7 +70,8 @@ def chunk_pool(
     """Fused chunk ranking of each topic, cut at `pool` rows (each list at 3 × pool).
 
     By default the pool grows with the library, 30 rows per paper and 60 at least, so that
-    usually every chunk is ranked. Those rankings are computed by score ranges.
+    usually every chunk is ranked. Those rankings are computed by score ranges; `leading_chunks`
+    gives the same first papers without them.
     """
     source = located(vectors, chunks)
     if pool is not None:
@@ -86,6 +91,70 @@ def chunk_pool(
     return ranked.withColumn("score", fused_score())
 
 
+def leading_chunks(
+    chunks: DataFrame, vectors: DataFrame, topics: DataFrame, papers: int = fixed.MAX_CANDIDATES
+) -> DataFrame:
+    """The part of the growing pool that holds the first `papers` papers of each topic.
+
+    Let R be the rank at which that many papers have appeared in one of the two lists. Each of
+    them scores at least 1/(60 + R), and a chunk beyond rank m in both lists at most 2/(60 + m), so
+    with m = 61 + 2R both heads hold every chunk that can win. Heads are deepened for the topics
+    that need it only. Of the chunks known from one list, those that can still reach the bound get
+    their exact place in the other by counting.
+    """
+    source = located(vectors, chunks)
+    total, all_papers, named = chunks.agg(
+        F.count("*"),
+        F.count_distinct("paper_id"),
+        F.count_distinct(F.when(F.col("paper_id") != "", F.col("paper_id"))),
+    ).first()
+    limit = max(all_papers * fixed.POOL_PER_PAPER, fixed.MIN_POOL)
+    cut_off = limit * fixed.OVERFETCH
+    most, wanted = max(1, min(cut_off, total)), max(1, min(papers, named))
+    statistics = written(term_statistics(chunks), "term-statistics")
+
+    def nth(rank: str) -> Column:
+        return F.get(F.sort_array(F.collect_list(rank)), F.lit(wanted - 1))
+
+    topics = written(topics, "topics")
+    open_topics, heads, depth = topics, None, FIRST_DEPTH
+    while True:
+        n = min(depth, most)
+        lists = written(fuse(nearest(source, open_topics, n), bm25(chunks, open_topics, n, statistics=statistics)), "heads")
+        firsts = lists.where("paper_id <> ''").groupBy("query_id", "paper_id").agg(
+            F.min("v_rank").alias("v_rank"), F.min("k_rank").alias("k_rank")
+        )
+        reached = firsts.groupBy("query_id").agg(F.least(nth("v_rank"), nth("k_rank")).alias("R"))
+        bound = F.coalesce(1.0 / (fixed.RRF_K + F.col("R")), F.lit(0.0))
+        needed = F.least(fixed.RRF_K + 1 + 2 * F.col("R"), F.lit(most))
+        closed = reached.where((needed <= n) | F.lit(n >= most)).select("query_id", bound.alias("bound"))
+        part = lists.join(closed, "query_id").withColumn("rest", F.lit(1.0 / (fixed.RRF_K + n)))
+        heads = part if heads is None else heads.unionByName(part)
+        if n >= most:
+            break
+        open_topics = written(open_topics.join(closed, "query_id", "left_anti"), "topics")
+        if open_topics.isEmpty():
+            break
+        depth *= 4
+
+    # The factor keeps chunks that rounding puts just below the bound.
+    able = written(heads.where("raw + rest >= bound * (1 - 1e-9)"), "able")
+    by_vector = vector_ranks(source, topics, able.where("v_rank is null")).withColumnRenamed("rank", "v_found")
+    by_word = keyword_ranks(chunks, topics, able.where("k_rank is null"), statistics).withColumnRenamed("rank", "k_found")
+    keys = ["query_id", "chunk_id"]
+    placed = able.join(by_vector, keys, "left").join(by_word, keys, "left").select(
+        "query_id", *CHUNK_KEYS,
+        F.coalesce("v_rank", "v_found").alias("v_rank"),
+        F.coalesce("k_rank", "k_found").alias("k_rank"),
+    )
+
+    def listed(rank: str) -> DataFrame:
+        return placed.where(F.col(rank) < cut_off).select("query_id", *CHUNK_KEYS, F.col(rank).alias("rank"))
+
+    fused = fuse(listed("v_rank"), listed("k_rank"))
+    return top_n(fused, ["query_id"], fused_order(), limit).withColumn("score", fused_score())
+
+
 def merge_candidates(
     named: DataFrame, retrieved: DataFrame, limit: int = fixed.MAX_CANDIDATES
 ) -> DataFrame:
@@ -113,4 +182,10 @@ def topic_candidates(
     pool: int | None = None,
     limit: int = fixed.MAX_CANDIDATES,
 ) -> DataFrame:
-    return merge_candidates(named, paper_rollup(chunk_pool(chunks, vectors, topics, pool)), limit)
+    """Named papers, then the first retrieved ones; a `pool` cuts both lists at 3 × pool."""
+    if pool is None:
+        # Of the first `limit` papers at most as many are named as named papers take places.
+        ranked = leading_chunks(chunks, vectors, topics, limit)
+    else:
+        ranked = chunk_pool(chunks, vectors, topics, pool)
+    return merge_candidates(named, paper_rollup(ranked), limit)

@@ -21,7 +21,6 @@ QUERY_BLOCK = 1024
 SCORE_CELLS = 2_000_000
 
 HIT = "query_id string, chunk_id string, paper_id string, chunk_index int, score double"
-_HIT_COLUMNS = ["query_id", "chunk_id", "paper_id", "chunk_index", "score"]
 
 
 def embed(
@@ -98,6 +97,22 @@ def _slice_best(
 
 def _with_joined_queries(
     vectors: DataFrame, queries: DataFrame, n: int | None, keys: Sequence[str]
+) -> DataFrame:
+    """Best `n` of every piece of the block join for each query."""
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> list[pd.DataFrame]:
+        return list(_best(v, q["query_id"].to_numpy(), _matrix(q["embedding"]), n))
+
+    return _block_join(vectors, queries, keys, ["query_id", "embedding"], best, HIT)
+
+
+def _block_join(
+    vectors: DataFrame,
+    queries: DataFrame,
+    keys: Sequence[str],
+    query_columns: Sequence[str],
+    work: Callable[[pd.DataFrame, pd.DataFrame], list[pd.DataFrame]],
+    result: str,
 ) -> DataFrame:
     """Block join: vectors and queries sharing `keys` meet in pieces of bounded size.
 
@@ -131,8 +146,7 @@ def _with_joined_queries(
     left = vectors.withColumn("_v", piece("chunk_id", "_vn")).withColumn("_q", every("_qn"))
     right = queries.withColumn("_q", piece("query_id", "_qn")).withColumn("_v", every("_vn"))
 
-    def best(v: pd.DataFrame, q: pd.DataFrame) -> list[pd.DataFrame]:
-        return list(_best(v, q["query_id"].to_numpy(), _matrix(q["embedding"]), n))
+    names = [part.split()[0] for part in result.split(", ")]
 
     def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found: list[pd.DataFrame] = []
@@ -140,10 +154,10 @@ def _with_joined_queries(
             asked = dict(list(q.groupby(fresh)))
             for key, part in v.groupby(fresh):
                 if key in asked:
-                    found += best(part, asked[key])
+                    found += work(part, asked[key])
         elif len(v) and len(q):
-            found = best(v, q)
-        return pd.concat(found) if found else pd.DataFrame(columns=_HIT_COLUMNS)
+            found = work(v, q)
+        return pd.concat(found) if found else pd.DataFrame(columns=names)
 
     # New names for the keys: the two sides of a cogroup must not share a column.
     fresh = [f"_key{i}" for i in range(len(keys))]
@@ -152,8 +166,8 @@ def _with_joined_queries(
     v_side = left.withColumn("_g", group_of).select(
         *shared, "chunk_id", "paper_id", "chunk_index", "embedding"
     )
-    q_side = right.withColumn("_g", group_of).select(*shared, "query_id", "embedding")
-    return v_side.groupBy(*group).cogroup(q_side.groupBy(*group)).applyInPandas(run, HIT)
+    q_side = right.withColumn("_g", group_of).select(*shared, *query_columns)
+    return v_side.groupBy(*group).cogroup(q_side.groupBy(*group)).applyInPandas(run, result)
 
 
 def nearest(
@@ -174,6 +188,58 @@ def nearest(
     return top_n(hits, ["query_id"], hit_order(), n)
 
 
+def _pair_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            v, q = _matrix(pdf["embedding"]), _matrix(pdf["asked"])
+            squared = (q * q).sum(axis=1) + (v * v).sum(axis=1) - 2.0 * (q * v).sum(axis=1)
+            yield pdf.drop(columns=["embedding", "asked"]).assign(score=np.round(1.0 - squared, 9) + 0.0)
+
+
+def _count_better(vectors: pd.DataFrame, queries: pd.DataFrame) -> list[pd.DataFrame]:
+    """How many of these vectors stand before each mark of each query."""
+    out: list[tuple[str, str, int]] = []
+    q = _matrix(queries["embedding"])
+    step = max(1, SCORE_CELLS // max(1, len(queries)))
+    for start in range(0, len(vectors), step):
+        part = vectors.iloc[start : start + step]
+        v = _matrix(part["embedding"])
+        squared = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2.0 * (q @ v.T)
+        scores = np.round(1.0 - squared, 9) + 0.0
+        places = list(zip(part["paper_id"], part["chunk_index"]))
+        for row, query_id, marks in zip(scores, queries["query_id"], queries["marks"]):
+            ascending = np.sort(row)
+            for mark in marks:
+                above = len(row) - int(np.searchsorted(ascending, mark["score"], "right"))
+                own = (mark["paper_id"], mark["chunk_index"])
+                tied = sum(places[i] < own for i in np.flatnonzero(row == mark["score"]))
+                out.append((query_id, mark["chunk_id"], above + tied))
+    return [pd.DataFrame(out, columns=["query_id", "chunk_id", "better"])] if out else []
+
+
+def vector_ranks(vectors: DataFrame, queries: DataFrame, marks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, rank): place in the full vector list of each marks(query_id, chunk_id).
+
+    Every block counts what stands before each mark, and only the counts are shuffled. Meant for
+    few marks per query. Marks without a vector on either side have no rank.
+    """
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    pairs = marks.select("query_id", "chunk_id").join(vectors, "chunk_id").join(
+        asked.withColumnRenamed("embedding", "asked"), "query_id"
+    )
+    scored = pairs.select("query_id", "chunk_id", "paper_id", "chunk_index", "embedding", "asked").mapInPandas(
+        _pair_scores, HIT
+    )
+    packed = scored.groupBy("query_id").agg(
+        F.collect_list(F.struct("score", "paper_id", "chunk_index", "chunk_id")).alias("marks")
+    )
+    counts = _block_join(
+        vectors, asked.join(packed, "query_id"), [], ["query_id", "embedding", "marks"], _count_better,
+        "query_id string, chunk_id string, better long",
+    )
+    return counts.groupBy("query_id", "chunk_id").agg(F.sum("better").cast("int").alias("rank"))
+
+
 def fit_cells(vectors: DataFrame, cells: int, seed: int = 42, sample: float = 1.0) -> np.ndarray:
     """Centres of a KMeans split of the vectors; training may use a sample of them."""
     from pyspark.ml.clustering import KMeans

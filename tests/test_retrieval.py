@@ -10,7 +10,7 @@ from litweave import schema
 from litweave.operators import vectors as V
 from litweave.operators.bm25 import bm25, term_statistics
 from litweave.operators.candidates import (
-    expand_topics, merge_candidates, named_papers, paper_rollup, topic_candidates,
+    chunk_pool, expand_topics, leading_chunks, merge_candidates, named_papers, paper_rollup, topic_candidates,
 )
 from litweave.operators.fusion import fuse, fused_order, hybrid_search, mixed_search, paper_filter, rag_query
 from litweave.operators.ranking import rank_all, top_n
@@ -286,6 +286,31 @@ def test_topic_candidates_pools_agree(spark):
     assert sorted(wide) == sorted(grown) and len(wide) == 16
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leading_papers_equal_the_full_ranking(spark, seed, monkeypatch):
+    """Ties, blank papers, chunks without vectors, topics without one, and a hot paper that fills
+    the first heads."""
+    monkeypatch.setattr("litweave.operators.candidates.FIRST_DEPTH", 16)
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(f"p{d:02d}", i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))) for d in range(25) for i in range(4)]
+    rows += [("hot", i, "w1 w1 w2") for i in range(90)] + [("", i, "w1 w3") for i in range(5)]
+    store = chunks(spark, rows)
+    vec = spark.createDataFrame(
+        [(f"{p}_{i}", [rng.randint(0, 3) / 4, 0.5 if p == "hot" else rng.randint(0, 3) / 4]) for p, i, _ in rows if rng.random() < 0.9],
+        schema.VECTORS,
+    )
+    topics = spark.createDataFrame(
+        [("q1", "w1 w2 w3", [0.1, 0.5]), ("q2", "w4", [0.5, 0.5]), ("q3", "w5 w6", None), ("q4", "none", [0.0, 1.0]), ("q5", "", None)],
+        schema.QUERIES,
+    )
+    named = spark.createDataFrame([("q2", "p03", 0, 0)], "query_id string, paper_id string, seq long, pos int")
+    for limit in (3, 8):
+        want = merge_candidates(named, paper_rollup(chunk_pool(store, vec, topics)), limit)
+        got = merge_candidates(named, paper_rollup(leading_chunks(store, vec, topics, limit)), limit)
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_expansion_is_the_identity_without_a_table(spark):
     topics = queries(spark, [("q", "graphs")])
     assert [tuple(r) for r in expand_topics(topics).collect()] == [("q", 0, "graphs")]
