@@ -262,7 +262,7 @@ def keyword_ranks(
     )
 
     def not_after(listed: str, own: Column) -> Column:
-        return F.size(F.filter(listed, lambda m: m <= own))
+        return let(own, lambda here: F.size(F.filter(listed, lambda mark: mark <= here)))
 
     gaps = scored.join(packed, "query_id").select(
         "query_id", not_after("scores", by_score).alias("i"), not_after("places", by_place).alias("j")

@@ -14,7 +14,7 @@ from litweave.operators.vectors import nearest, vector_ranks
 from litweave.session import written
 
 #: Depth of the first heads; it changes the work, not the result.
-FIRST_DEPTH = 128
+FIRST_DEPTH = 256
 
 
 def expand_topics(topics: DataFrame, expansions: DataFrame | None = None) -> DataFrame:
