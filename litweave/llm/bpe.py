@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 #: How byte-level tokenizers cut text before merging (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Different pieces of text that a task remembers; then it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 #: Pieces that are indexed together.
-INDEXED = 150_000
+INDEXED = 100_000
+#: Texts of more characters are cut piece by piece, so that their pieces are never held at once.
+LONG = 50_000
 #: Texts of a batch that are put together, or taken apart, at a time.
 SLICE = 250
 
@@ -128,6 +130,14 @@ class Vocabulary:
         return symbol[alive], np.bincount(np.searchsorted(edge, alive, "right"), minlength=len(pieces))
 
 
+class _Numbers(dict):
+    """Pieces by number, in the order in which they were first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class Encoder:
     """Whole texts to token ids. Pieces met before are remembered."""
 
@@ -137,7 +147,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids, self.sizes, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
@@ -153,29 +163,29 @@ class Encoder:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def pieces(self, text: str) -> list[str]:
-        split = self.vocabulary.split
-        if split is None or not split.search(text):
+    def _cut(self, text: str) -> Iterable[str]:
+        if len(text) <= LONG:
             return self.pattern.findall(text)
-        out, at = [], 0
+        return (found[0] for found in self.pattern.finditer(text))
+
+    def pieces(self, text: str) -> Iterable[str]:
+        split = self.vocabulary.split
+        return self._cut(text) if split is None or not split.search(text) else self._between(text, split)
+
+    def _between(self, text: str, split: regex.Pattern) -> Iterator[str]:
+        at = 0
         for found in split.finditer(text):
-            out += self.pattern.findall(text[at : found.start()])
-            out.append(found[0])
+            yield from self._cut(text[at : found.start()])
+            yield found[0]
             at = found.end()
-        return out + self.pattern.findall(text[at:])
+        yield from self._cut(text[at:])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their number per text; null is empty."""
         if len(self.known) > REMEMBERED:
             self._forget()
         known, done = self.known, len(self.known)
-        numbers = []
-        for text in texts:
-            cut = self.pieces(text or "")
-            for p in cut:
-                if p not in known:
-                    known[p] = len(known)
-            numbers.append(np.fromiter(map(known.__getitem__, cut), np.int32, len(cut)))
+        numbers = [np.fromiter(map(known.__getitem__, self.pieces(text or "")), np.int32) for text in texts]
         if len(known) > done:
             self._learn(list(islice(known, done, None)))
         done = [self._ids(numbers[at : at + SLICE]) for at in range(0, len(numbers), SLICE)]
@@ -203,7 +213,7 @@ def shipped(spark: SparkSession, file: str) -> str:
 
 
 #: Texts that are encoded together.
-TOGETHER = 10_000
+TOGETHER = 4_000
 
 
 def encoder(file: str) -> Callable[[Column], Column]:
