@@ -179,13 +179,9 @@ def topic_candidates(
     vectors: DataFrame,
     topics: DataFrame,
     named: DataFrame,
-    pool: int | None = None,
     limit: int = fixed.MAX_CANDIDATES,
 ) -> DataFrame:
-    """Named papers, then the first retrieved ones; a `pool` cuts both lists at 3 × pool."""
-    if pool is None:
-        # Of the first `limit` papers at most as many are named as named papers take places.
-        ranked = leading_chunks(chunks, vectors, topics, limit)
-    else:
-        ranked = chunk_pool(chunks, vectors, topics, pool)
+    """Named papers, then the first retrieved ones."""
+    # Of the first `limit` papers at most as many are named as named papers take places.
+    ranked = leading_chunks(chunks, vectors, topics, limit)
     return merge_candidates(named, paper_rollup(ranked), limit)

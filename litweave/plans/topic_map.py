@@ -37,7 +37,6 @@ def map_topics(
     finals: DataFrame,
     card_texts: DataFrame,
     drafts: DataFrame,
-    pool: int | None = None,
 ) -> TopicMap:
     """topics(task_id, topic, embedding), finals(task_id, final_text) and
     trace(task_id, seq, type, result_preview) of the retrieval run, card_texts(paper_id,
@@ -52,7 +51,7 @@ def map_topics(
         trace.withColumnRenamed("task_id", "query_id"),
         papers,
     )
-    found = topic_candidates(chunks, vectors, asked, named, pool)
+    found = topic_candidates(chunks, vectors, asked, named)
     candidates = written(found.withColumnRenamed("query_id", "task_id"), "candidates")
 
     wanted = candidates.select("task_id", "paper_id", F.col("rank").alias("pos"))

@@ -281,7 +281,7 @@ def test_topic_candidates_pools_agree(spark):
     )
     topics = spark.createDataFrame([("q1", "w1 w2 w3", [0.1, 0.9]), ("q2", "w4", [0.5, 0.5])], schema.QUERIES)
     none = spark.createDataFrame([], "query_id string, paper_id string, seq long, pos int")
-    wide = topic_candidates(store, vec, topics, none, pool=1000).collect()
+    wide = merge_candidates(none, paper_rollup(chunk_pool(store, vec, topics, 1000))).collect()
     grown = topic_candidates(store, vec, topics, none).collect()
     assert sorted(wide) == sorted(grown) and len(wide) == 16
 
