@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litweave.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
+from litweave.llm import exact_dedup, near_copies, packing, substring_dedup, toxicity
 from litweave.session import written
 
 #: No SQL: the toxicity model is trained.
@@ -26,8 +26,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest doc_id stays."""
-    return simhash.drop_near(docs)
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more, the document
+    with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

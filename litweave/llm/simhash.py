@@ -24,17 +24,26 @@ TOGETHER = 2048
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles in their order; none for a text without words."""
     found = [w.lower() for w in words(text)]  # bytes.lower changes A-Z only
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(found))
     cut = [joined[a:b] for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))
+    return np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles; 0 for a text without words."""
+    return _folded(shingle_hashes(text, shingle))
+
+
+def _folded(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255 * 64):
         part = hashes[at : at + 255 * 64]
