@@ -335,12 +335,12 @@ def vector_topk_joined(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 
-@query("vector_topk_cells")
+@query("vector_topk_cells", HITS.format("dv") + " WHERE rank < 8")
 def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Approximate search; results depend on the fitted cells."""
+    """The same, skipping cells that can't hold a better vector."""
     stored = _doc_vectors(spark, sf)
     centres = vectors.fit_cells(stored, 16)
-    hits = vectors.nearest_by_cells(stored, inputs.queries(spark, sf), 8, centres, 4)
+    hits = vectors.nearest_in_cells(stored, inputs.queries(spark, sf), 8, centres)
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 

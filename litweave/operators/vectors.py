@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from litweave import fixed
 from litweave.operators.ranking import rank_all, top_n
+from litweave.session import written
 
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 1024
 SCORE_CELLS = 2_000_000
+SLACK = 1e-8
 
 HIT = "query_id string, chunk_id string, paper_id string, chunk_index int, score double"
 
@@ -272,3 +274,56 @@ def nearest_by_cells(
     )
     hits = _with_joined_queries(placed, asked, n, ["cell"])
     return top_n(hits, ["query_id"], hit_order(), n)
+
+
+def _cells_to_search(centres: np.ndarray, counts: np.ndarray, radii: np.ndarray, n: int):
+    """Embedding, n-th score so far (null: not known) → cells. Without a score: the closest cells that
+    hold n vectors. With one: the other cells that may hold a vector at least as good."""
+
+    @F.pandas_udf("array<int>")
+    def cells(embedding: pd.Series, score: pd.Series) -> pd.Series:
+        m = _matrix(embedding)
+        gap = np.sqrt(np.maximum(((m[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2), 0))
+        out = []
+        for row, reached in zip(gap, score.to_numpy(float)):
+            order = np.argsort(row, kind="stable")
+            held = np.cumsum(counts[order])
+            first = int(np.searchsorted(held, n)) + 1
+            if np.isnan(reached):
+                out.append(order[:first].astype(np.int32))
+                continue
+            rest = order[first:]
+            # Scores are rounded to 9 decimals: the slack keeps every tie.
+            limit = np.sqrt(max(1.0 - reached, 0.0) + SLACK) + SLACK
+            out.append(rest[(counts[rest] > 0) & (row[rest] - radii[rest] <= limit)].astype(np.int32))
+        return pd.Series(out)
+
+    return cells
+
+
+def nearest_in_cells(vectors: DataFrame, queries: DataFrame, n: int, centres: np.ndarray) -> DataFrame:
+    """Exact best `n`, as of `nearest`, by cells.
+
+    The closest cells that hold n vectors give each query an n-th score. Another cell is skipped only
+    if the distance to its centre minus its radius is larger than the distance of that score. With at
+    most n vectors in all, every cell is searched.
+    """
+    cell_of = _closest_cells(centres, 1)
+
+    @F.pandas_udf("double")
+    def apart(embedding: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series(np.sqrt(((_matrix(embedding) - centres[cell.to_numpy(int)]) ** 2).sum(axis=1)))
+
+    placed = written(vectors.withColumn("cell", F.get(cell_of("embedding"), F.lit(0))), "placed-vectors")
+    counts, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max(apart("embedding", "cell")).alias("radius")).collect():
+        counts[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
+    cells = _cells_to_search(centres, counts, radii, n)
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    unknown = F.lit(None).cast("double")
+    near = _with_joined_queries(placed, asked.withColumn("cell", F.explode(cells("embedding", unknown))), n, ["cell"])
+    near = written(top_n(near, ["query_id"], hit_order(), n).select("query_id", "chunk_id", "paper_id", "chunk_index", "score"), "cell-hits")
+    reached = near.groupBy("query_id").agg(F.min("score").alias("reached"))
+    further = asked.join(reached, "query_id").withColumn("cell", F.explode(cells("embedding", F.col("reached"))))
+    far = _with_joined_queries(placed, further.drop("reached"), n, ["cell"])
+    return top_n(near.unionByName(far), ["query_id"], hit_order(), n)

@@ -192,6 +192,17 @@ def test_cells_find_most_neighbours(spark):
     assert full.exceptAll(exact).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 5, 5000])
+def test_skipped_cells_hold_no_neighbour(spark, n):
+    rows = vector_rows(spark, 5, papers=200)
+    stored = spark.createDataFrame(rows, VEC)
+    asked = queries(spark, [(f"q{k}", rows[k][3]) for k in range(20)], "query_id string, embedding array<float>")
+    hits = V.nearest_in_cells(stored, asked, n, V.fit_cells(stored, 8))
+    exact = V.nearest(stored, asked, n)
+    assert hits.columns == exact.columns
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, exact.collect()))
+
+
 def test_embed_batches_in_order(spark):
     def provider(texts):
         assert len(texts) <= 64
