@@ -26,6 +26,8 @@ GROUPS = 256
 STRETCH = 128
 #: Bound of the calibration sample.
 CALIBRATION_ROWS = 20_000
+#: The score of every text where nothing could be learned: no text is rejected.
+UNKNOWN = 0.25
 START = 0
 
 _SPACED = bytes(
@@ -159,18 +161,21 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the curve from ratio to probability.
 
     It crosses one half at the cut with the fewest errors (between equal cuts, at the one with most
-    room around it), so wrong labels far from the cut don't move it; the slope is the likeliest.
+    room around it), so wrong labels far from the cut don't move it; the slope is the likeliest. The
+    cut lies above 0: what is no likelier in toxic texts, or has no words, is not toxic.
     """
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     below = np.concatenate(([0], np.cumsum(y)))  # toxic below the cut
     errors = below + (len(y) - y.sum()) - (np.arange(len(y) + 1) - below)
-    edges = np.concatenate(([x[0] - 1], x, [x[-1] + 1]))
+    edges = np.concatenate(([x[0] - 1], x, [max(x[-1], 0) + 1]))
     room = np.diff(edges)
-    errors = np.where(room > 0, errors, len(y) + 1)
+    cuts = (edges[:-1] + edges[1:]) / 2
+    cuts[-1] = max(cuts[-1], 0.5)
+    errors = np.where((room > 0) & (cuts > 0), errors, len(y) + 1)
     best = np.flatnonzero(errors == errors.min())
     k = best[np.argmax(room[best])]
-    cut = (edges[k] + edges[k + 1]) / 2
+    cut = cuts[k]
     slopes = np.geomspace(1, 1e4, 81)
     z = np.clip(slopes[:, None] * (x - cut), -30, 30)
     likely = (y * z - np.log1p(np.exp(z))).sum(1)
@@ -178,30 +183,38 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, -slope * float(cut)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Models, float, float]:
-    """docs(doc_id, text), labels(doc_id, toxic) → models, slope and offset.
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Models, float, float] | None:
+    """docs(doc_id, text), labels(doc_id, toxic) → models, slope and offset; nothing without
+    labelled texts of both classes.
 
-    Counts cover all labelled texts but those kept for calibration (a quarter by a hash of doc_id),
-    of which at most CALIBRATION_ROWS are scored to fit the curve from ratio to probability. Texts
-    move once, to meet their labels; pairs travel packed and sorted; the driver gets tables of fixed
-    size.
+    Of each class the same share of the labelled texts, one at least, is scored to fit the curve from
+    ratio to probability: a quarter, CALIBRATION_ROWS at most. All others are counted, and so is the
+    only text of a class. Texts move once, to meet their labels; pairs travel packed and sorted; the
+    driver gets tables of fixed size.
     """
     n = partitions(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int")).distinct()
-    calibrates = F.pmod(seeded_rank(F.col("doc_id"), 21), F.lit(4)) == 0
     # Labels grow with the texts, so both are always dealt out by identifier.
-    counted = docs.where(~calibrates).join(known.hint("merge"), "doc_id").select("text", "toxic").mapInPandas(_gather, "part int, packed binary")
+    known = written(docs.select("doc_id").distinct().join(known.hint("merge"), "doc_id"), "toxicity-labels")
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return None
+    share = min(0.25, CALIBRATION_ROWS / sum(sizes.values()))
+    some = [
+        known.where(F.col("toxic") == y).orderBy(seeded_rank(F.col("doc_id"), 22), "doc_id").limit(max(1, int(size * share)))
+        for y, size in sizes.items()
+    ]
+    some = written(some[0].union(some[1]), "calibration-labels")
+    single = [y for y, size in sizes.items() if size == 1]
+    others = known.join(some.where(~F.col("toxic").isin(single)), ["doc_id", "toxic"], "left_anti")
+    counted = docs.join(others.hint("merge"), "doc_id").select("text", "toxic").mapInPandas(_gather, "part int, packed binary")
     sums = counted.repartition(n, "part").sortWithinPartitions("part").mapInPandas(
         _count, "kind string, at long, v0 double, v1 double, v2 double, v3 double"
     )
     total = sums.groupBy("kind", "at").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(4)])
     models = Models.of(total.toPandas())
 
-    some = known.where(calibrates).orderBy(seeded_rank(F.col("doc_id"), 22), "doc_id").limit(CALIBRATION_ROWS)
-    some = written(some, "calibration-labels")
     pairs = docs.join(some, "doc_id").select(ratios(models)("text").alias("x"), "toxic").toPandas()
-    if pairs["toxic"].nunique() < 2:
-        return models, 1.0, 0.0 if not len(pairs) or pairs["toxic"].iloc[0] else -1.0
     slope, offset = calibrated(pairs["x"].to_numpy(float), pairs["toxic"].to_numpy(float))
     return models, slope, offset
 
@@ -225,9 +238,12 @@ def with_toxicity(df: DataFrame, labels: DataFrame, learn: Column, id_col: str =
 
     Defined results: null, empty and wordless texts have ratio 0; labels that are null or not 0 or 1
     and rows with a null identifier teach nothing; an identifier with both labels counts for both;
-    without labels of both classes all scores are the same; rows come back as often as they are given.
+    without labelled texts of both classes all scores are UNKNOWN, below one half; rows come back as often as they are given.
     """
     docs = df.where(learn).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    models, slope, offset = fitted(docs, labels)
+    found = fitted(docs, labels)
+    if found is None:
+        return df.withColumn("toxicity", F.lit(UNKNOWN))
+    models, slope, offset = found
     x = ratios(models)(F.col(text_col))
     return df.withColumn("toxicity", 1 / (1 + F.exp(-(x * F.lit(slope) + F.lit(offset)))))

@@ -125,3 +125,9 @@ def test_stages_survive_awkward_documents(spark, tmp_path):
             out.write.parquet(str(tmp_path / f"{k}-{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
         assert (docs.count() > 0) == (k == 0)
+
+
+def test_no_labels_drop_no_document(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()

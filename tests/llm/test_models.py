@@ -212,6 +212,36 @@ def test_toxicity_of_awkward_rows(spark):
         assert toxicity.with_toxicity(df, none, F.lit(True)).count() == len(texts)
 
 
+def test_nothing_is_rejected_without_labels_of_both_classes(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["you idiot fool", "a nice day", "", None] * 5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(20)], "doc_id long, toxic int")
+    elsewhere = labels.withColumn("doc_id", F.col("doc_id") + 100)
+    for none in (labels.where("false"), labels.where("toxic = 1"), labels.where("toxic = 0"), elsewhere):
+        assert all(r["toxicity"] < 0.5 for r in toxicity.with_toxicity(df, none, F.lit(True)).collect())
+
+
+def test_few_labels_of_both_classes_do_not_reject_clean_texts(spark):
+    texts = ["you idiot fool " * 9 if i % 4 == 0 else f"a nice day number{i} " * 9 for i in range(40)] + ["", None, "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (2, 3, 5, 8):
+        labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(size)], "doc_id long, toxic int")
+        both = toxicity.fitted(df, labels)
+        assert both is not None and both[1] > 0
+        assert toxicity.with_toxicity(df, labels, F.lit(True)).where("toxicity < 0.5").count() > 0
+
+
+def test_all_labelled_texts_but_the_calibration_sample_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 4)
+    df = spark.createDataFrame([(i, f"only{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    counted = []
+    of = toxicity.Models.of
+    monkeypatch.setattr(toxicity.Models, "of", lambda counts: counted.append(counts) or of(counts))
+    toxicity.fitted(df, labels)
+    word = counted[0][counted[0]["kind"] == "word"]
+    assert word["v0"].sum() + word["v1"].sum() == 196
+
+
 def test_the_cut_ignores_wrong_labels_far_away():
     x = np.concatenate([np.linspace(-0.01, 0.01, 90), np.linspace(0.05, 0.3, 20)])
     y = np.concatenate([np.zeros(90), np.ones(20)])
