@@ -22,10 +22,14 @@ SHINGLE = 5
 #: Texts from which the shingles' frequencies are estimated, and how many frequent shingles are kept.
 #: They only decide the order of the prefix filter, not what it finds.
 SAMPLE, FREQUENT = 2_000, 50_000
+#: Nodes are marked in so many slots before their sets are joined, so that few sets move in vain.
+SLOTS = 1 << 22
+#: Slots of the parities that rule out candidates before their sets are joined.
+PARITIES = 1024
 
 #: Similar sets: 9 · overlap >= 4 · (both sizes), which is overlap / union >= 0.8.
 _SIZES = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
-_PLACES = "9 * (least(a.pos, b.pos) + 1 + least(a.n - a.pos, b.n - b.pos) - 1) >= 4 * (a.n + b.n)"
+_PLACES = "9 * (least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos)) >= 4 * (a.n + b.n)"
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -41,12 +45,24 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64))
 
 
+def _parities(found: np.ndarray) -> bytes:
+    """One bit per slot: whether an odd number of shingles fall into it. Two sets differ in at least as
+    many shingles as their parities differ in bits."""
+    return np.packbits((np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts → their set's digest and SimHash."""
+    """Texts → their set's digest, SimHash, size and parities."""
     for batch in batches:
         hashes = [shingle_hashes(t, SHINGLE) for t in batch["text"]]
         fps = np.fromiter((_folded(h) for h in hashes), np.uint64, len(hashes))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [_node(_set(h)) for h in hashes], "fp": fps.view(np.int64)})
+        sets = [_set(h) for h in hashes]
+        yield pd.DataFrame(
+            {
+                "doc_id": batch["doc_id"], "node": [_node(x) for x in sets], "fp": fps.view(np.int64),
+                "n": [len(x) for x in sets], "odd": [_parities(x) for x in sets],
+            }
+        )
 
 
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,14 +94,19 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shingle and node → those of shingles in several nodes, with the first node."""
+    """Rows sorted by shingle and node → those of shingles in several nodes, with the first node, or
+    the row's own where sizes and places rule out that the two are similar."""
 
     def kept(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["h", "node"])
         h, node = frame["h"].to_numpy(), frame["node"].to_numpy()
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(start, len(h)))
-        return frame.assign(first=np.repeat(node[start], size))[np.repeat(size > 1, size)]
+        n, pos = frame["n"].to_numpy(np.int64), frame["pos"].to_numpy(np.int64)
+        first, first_n, first_pos = (np.repeat(x[start], size) for x in (node, n, pos))
+        fits = 5 * np.minimum(n, first_n) >= 4 * np.maximum(n, first_n)
+        fits &= 9 * (np.minimum(pos, first_pos) + np.minimum(n - pos, first_n - first_pos)) >= 4 * (n + first_n)
+        return frame.assign(first=np.where(fits, first, node))[np.repeat(size > 1, size)]
 
     tail: list[pd.DataFrame] = []
     for batch in batches:
@@ -105,10 +126,15 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield kept(pd.concat(tail, ignore_index=True))
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [shingle_set(t) for t in batch["text"]]
-        yield pd.DataFrame({"node": [_node(x) for x in found], "packed": [x.tobytes() for x in found]})
+def _sets(bits: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Texts → node and set, for the nodes whose slot is marked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(_node(x), x.tobytes()) for x in map(shingle_set, batch["text"])]
+            yield pd.DataFrame([x for x in found if bits[x[0] % SLOTS >> 3] >> (x[0] % SLOTS & 7) & 1], columns=["node", "packed"])
+
+    return run
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,11 +146,29 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(good, bool), ["a", "b"]]
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b) those that are similar."""
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose parities don't rule out that they are similar: not more than a ninth of both
+    sizes differs."""
+    for batch in batches:
+        if len(batch):
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("odd_a", "odd_b"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.loc[9 * differ <= (batch["n_a"] + batch["n_b"]).to_numpy(), ["a", "b"]]
+
+
+def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs(a, b) those that are similar; nodes(node, n, odd)."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
+    pairs = written(pairs.mapInPandas(_possible, "a long, b long"), "near-candidates")
+    if pairs.isEmpty():
+        return pairs
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = texts.mapInPandas(_sets, "node long, packed binary").join(nodes, "node", "left_semi")
+    marked = np.zeros(SLOTS, np.uint8)
+    marked[nodes.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(int)] = 1
+    bits = np.packbits(marked, bitorder="little")
+    sets = texts.mapInPandas(_sets(bits), "node long, packed binary").join(nodes, "node", "left_semi")
     sets = written(sets.dropDuplicates(["node"]), "near-sets")
     x = sets.select(F.col("node").alias("a"), F.col("packed").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("packed").alias("y"))
@@ -155,8 +199,9 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = df.select(F.col(text_col).alias("text"))
     named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    ids = written(named.mapInPandas(_nodes, f"doc_id {kind}, node long, fp long"), "near-nodes")
+    ids = written(named.mapInPandas(_nodes, f"doc_id {kind}, node long, fp long, n long, odd binary"), "near-nodes")
     nodes = ids.select("node", "fp").distinct()
+    parities = ids.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
 
     least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     least = written(least, "near-fingerprints")
@@ -168,14 +213,13 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = prefixes.repartition(partitions(df.sparkSession), "h").sortWithinPartitions("h", "node")
     shared = written(dealt.mapInPandas(_shared, "h long, node long, n int, pos int, first long"), "near-shared")
     stars = shared.select(F.col("node").alias("a"), F.col("first").alias("b"))
-    found = _confirmed(texts, alike.union(links).union(stars))
+    found = _confirmed(texts, parities, alike.union(links).union(stars))
 
     rooted = shared.drop("first").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted, "near-rooted")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     left = written(rooted.join(mixed.select("h"), "h", "left_semi"), "near-mixed")
     across = left.alias("a").join(left.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {_SIZES} and {_PLACES}"))
-    found = found.union(_confirmed(texts, across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))))
+    found = found.union(_confirmed(texts, parities, across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))))
 
     roots = components(found)
     held = ids.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
