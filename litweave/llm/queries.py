@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, quality_svm, simhash, substring_dedup, toxicity, url_rules, vector_dedup
+from . import bpe, conversation_trie, exact_dedup, language_id, merkle, packing, quality_svm, simhash, substring_dedup, toxicity, url_rules, vector_dedup
 from .sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -84,10 +84,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.verified(documents, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_packing, op3_vector_dedup, op4_simhash, op5_url_rules, op6_exact_dedup,
-        op7_substring_dedup, op8_toxicity, op9_quality, op10_bpe,
+        op7_substring_dedup, op8_toxicity, op9_quality, op10_bpe, op12_conversation_trie, op13_merkle_manifest,
     )
 }

@@ -73,10 +73,71 @@ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
+
+
+def _crc32(number: str) -> str:
+    """Unsigned CRC-32 of a decimal number: bytes are xor-ed in, and after each the register is
+    shifted eight times."""
+    steps = f"flatten([[4294967295]] || list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda b: [CAST(ascii(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce({steps}, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
+_TRIE = rf"""
+WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (SELECT conv_id, turn, sha256(strlen(role) || ':' || role || text) AS k, len(regexp_extract_all(text, '{WORD}')) AS w FROM given),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(w ORDER BY turn NULLS FIRST, k) AS ws FROM keyed GROUP BY conv_id),
+part AS (SELECT conv_id, ks, ws, {_crc32("conv_id")} % 4 AS h, conv_id - conv_id % 20 AS base FROM own),
+built AS (SELECT p.conv_id, list_concat(coalesce(b.ks[1 : p.h], []), p.ks[p.h + 1 :]) AS ks, list_concat(coalesce(b.ws[1 : p.h], []), p.ws[p.h + 1 :]) AS ws
+  FROM part p LEFT JOIN own b ON b.conv_id = p.base),
+pre AS (SELECT conv_id, ks, ws, unnest(range(0, len(ks) + 1)) AS d FROM built),
+member AS (SELECT conv_id, d, ks[1 : d] AS p, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS w, len(ks) = d AS ends FROM pre),
+node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, max(w) AS w,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM member GROUP BY p, d),
+child AS (SELECT p[1 : d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+up AS (SELECT n.p, n.n, n.w, c.n IS NULL AS leaf, unnest(range(0, n.d + 1)) AS e FROM node n LEFT JOIN child c ON c.p = n.p),
+sub AS (SELECT p[1 : e] AS p, CAST(sum((n - 1) * w) AS BIGINT) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM up GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves,
+  s.saved AS saved_tokens, n.ends_sha256
+FROM node n JOIN sub s ON s.p = n.p LEFT JOIN child c ON c.p = n.p LEFT JOIN node u ON n.d > 0 AND u.d = n.d - 1 AND u.p = n.p[1 : n.d - 1]"""
+
+
+def _fields(text: str) -> str:
+    def one(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    return " || ".join(one(v) for v in ("doc_id", "source", "lang", "n_chars", text))
+
+
+#: `level`: nodes of all levels with the digests and the siblings of each node; the proof of a leaf is folded upwards.
+_MERKLE = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, source, sha256({_fields("text")}) AS leaf,
+  sha256({_fields("CASE WHEN changed THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS other
+  FROM (SELECT *, coalesce({_crc32("doc_id")} % 5 = 0, false) AS changed FROM documents)),
+tree AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS size FROM doc),
+low(tree, lvl, idx, size, digest) AS (SELECT tree, 0, idx, size, leaf FROM tree UNION ALL
+  SELECT tree, lvl + 1, idx // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM low WHERE size > 1 GROUP BY tree, lvl, idx // 16, size),
+subroot AS (SELECT tree, digest, count(*) OVER () AS size FROM low WHERE size = 1),
+high(lvl, idx, size, digest) AS (SELECT 0, tree, size, digest FROM subroot UNION ALL
+  SELECT lvl + 1, idx // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM high WHERE size > 1 GROUP BY lvl, idx // 16, size),
+root AS (SELECT digest AS root FROM high WHERE size = 1),
+run AS (SELECT tree, lvl, idx // 16 AS up, list(digest ORDER BY idx) AS met FROM low WHERE size > 1 GROUP BY tree, lvl, idx // 16
+  UNION ALL SELECT -1, lvl, idx // 16, list(digest ORDER BY idx) FROM high WHERE size > 1 GROUP BY lvl, idx // 16),
+step(k, tree, lvl, idx, proof, folded, own) AS (SELECT k, tree, 0, idx, '', other, tree FROM (SELECT *, row_number() OVER (ORDER BY tree, idx) AS k FROM tree) UNION ALL
+  SELECT k, CASE WHEN r.met IS NULL THEN -1 ELSE s.tree END, CASE WHEN r.met IS NULL THEN 0 ELSE s.lvl + 1 END, CASE WHEN r.met IS NULL THEN own ELSE s.idx // 16 END,
+    CASE WHEN r.met IS NULL THEN proof ELSE proof || array_to_string(met[1 : s.idx % 16] || met[s.idx % 16 + 2 :], '') END,
+    CASE WHEN r.met IS NULL THEN folded ELSE sha256(array_to_string(met[1 : s.idx % 16] || [folded] || met[s.idx % 16 + 2 :], '')) END, own
+  FROM step s LEFT JOIN run r ON r.tree = s.tree AND r.lvl = s.lvl AND r.up = s.idx // 16 WHERE s.tree >= 0 OR r.met IS NOT NULL),
+done AS (SELECT k, arg_max(proof, lvl) AS proof, arg_max(folded, lvl) AS folded FROM step WHERE tree = -1 GROUP BY k)
+SELECT doc_id, leaf, s.digest AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM (SELECT *, row_number() OVER (ORDER BY tree, idx) AS k FROM tree) t JOIN done USING (k) JOIN subroot s ON s.tree = t.tree, root"""
+
 ORACLES = {
     "op2_packing": _packing(),
     "op3_vector_dedup": _VECTORS,
     "op5_url_rules": _URLS,
     "op6_exact_dedup": _EXACT,
     "op7_substring_dedup": _SUBSTRING,
+    "op12_conversation_trie": _TRIE,
+    "op13_merkle_manifest": _MERKLE,
 }
