@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_trie, exact_dedup, language_id, merkle, packing, quality_svm, simhash, substring_dedup, toxicity, url_rules, vector_dedup
+from . import bpe, conversation_trie, exact_dedup, language_id, merkle, packing, quality_svm, rotated_codes, simhash, substring_dedup, toxicity, url_rules, vector_dedup
 from .sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -84,6 +84,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -97,6 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_packing, op3_vector_dedup, op4_simhash, op5_url_rules, op6_exact_dedup,
-        op7_substring_dedup, op8_toxicity, op9_quality, op10_bpe, op12_conversation_trie, op13_merkle_manifest,
+        op7_substring_dedup, op8_toxicity, op9_quality, op10_bpe, op11_nearest_vectors,
+        op12_conversation_trie, op13_merkle_manifest,
     )
 }

@@ -75,6 +75,16 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
 
 
 
+#: The exact search; the error bounds are wide enough to find the same rows.
+_NEAREST = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pair)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 def _crc32(number: str) -> str:
     """Unsigned CRC-32 of a decimal number: bytes are xor-ed in, and after each the register is
     shifted eight times."""
@@ -138,6 +148,7 @@ ORACLES = {
     "op5_url_rules": _URLS,
     "op6_exact_dedup": _EXACT,
     "op7_substring_dedup": _SUBSTRING,
+    "op11_nearest_vectors": _NEAREST,
     "op12_conversation_trie": _TRIE,
     "op13_merkle_manifest": _MERKLE,
 }
