@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from litweave.llm import bpe, simhash
+from litweave.llm import bpe
 from litweave.llm.queries import QUERIES
 
 from .test_dedup import brute_components, brute_exact, brute_substring
+from .test_near_copies import brute_set, similar
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 DATA = "/root/testdata/sf0.001"
@@ -102,8 +103,8 @@ def test_stages_match_brute_force(spark, tmp_path):
     ids = sorted(clean)
     assert set(exact) == {r[0] for r in brute_exact(ids, [clean[i]["text"] for i in ids]) if r[3]}
     ids = sorted(exact)
-    fps = [simhash.fingerprint(exact[i]["text"]) for i in ids]
-    roots = brute_components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 4])
+    sets = [brute_set(exact[i]["text"]) for i in ids]
+    roots = brute_components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if similar(sets[a], sets[b])])
     assert set(near) == {i for k, i in enumerate(ids) if roots[k] == k}
     ids = sorted(near)
     for i, kept, n, lost in brute_substring(ids, [near[i]["text"] for i in ids]):
