@@ -863,19 +863,20 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
-    """Queries and oracles of the subpackage for training data; none if it has been removed."""
-    found, oracles = {}, {}
-    if importlib.util.find_spec("litweave.llm"):
+    """Queries and oracles of the subpackage for training data; none if it can't be imported."""
+    try:
         from litweave.llm.queries import ORACLES, QUERIES
-
-        found, oracles = dict(QUERIES), dict(ORACLES)
-        if importlib.util.find_spec("corpus_pipeline"):
-            import corpus_pipeline
-
-            cloudpickle.register_pickle_by_value(corpus_pipeline)
-            found["pipeline"] = corpus_pipeline.run
-            if corpus_pipeline.ORACLE_SQL:
-                oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ImportError:
+        return {}, {}
+    found, oracles = dict(QUERIES), dict(ORACLES)
+    try:
+        import corpus_pipeline
+    except ImportError:
+        return found, oracles
+    cloudpickle.register_pickle_by_value(corpus_pipeline)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found, oracles
 
 

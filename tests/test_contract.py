@@ -1,4 +1,5 @@
 import re
+import sys
 
 import duckdb
 import pytest
@@ -21,7 +22,17 @@ def test_entry(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not [n for n in entry.queries() if re.match(r"op\d+_", n)]
+    # the optional subpackage's queries, all or none
+    numbered = {n for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)}
+    assert numbered == set(entry._training_data()[0])
+
+
+def test_names_without_the_optional_subpackage(monkeypatch):
+    for name in [n for n in sys.modules if n.split(".")[0] == "corpus_pipeline" or n.startswith("litweave.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "litweave.llm", None)
+    assert not [n for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
