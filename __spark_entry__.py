@@ -19,7 +19,7 @@ import driver_tables as inputs  # noqa: E402
 from litweave import fixed  # noqa: E402
 from litweave.functions import json_text, text  # noqa: E402
 from litweave.operators import (  # noqa: E402
-    bm25 as keyword, candidates, cards as card_ops, fusion, gaps, graph as graph_ops, quality,
+    bm25 as keyword, candidates, cards as card_ops, fusion, gaps, graph as graph_ops, keyword_index, quality,
     review, structure, vectors,
 )
 from litweave.plans import ingest  # noqa: E402
@@ -297,13 +297,13 @@ def search_tokens(spark: SparkSession, sf: str) -> DataFrame:
       round((SELECT mean_idf FROM ck_mean), 6) AS mean_idf FROM ck_tot""",
 )
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = keyword.corpus_stats(keyword.term_statistics(inputs.chunks(spark, sf)))
+    stats = inputs.chunk_index(spark, sf).years.where(F.col("year_from") == keyword_index.ANY_YEAR)
     return stats.select("n_chunks", _score("avgdl"), "n_terms", _score("mean_idf"))
 
 
 @query("bm25_topk", HITS.format("ck_ranked") + " WHERE rank < 8")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = keyword.bm25(inputs.chunks(spark, sf), inputs.queries(spark, sf), 8)
+    hits = keyword_index.search(inputs.chunk_index(spark, sf), inputs.queries(spark, sf), 8)
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 
@@ -311,7 +311,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_scoped(spark: SparkSession, sf: str) -> DataFrame:
     """One query per document, each with the statistics of that document alone."""
     hits = keyword.bm25(
-        inputs.chunks(spark, sf), inputs.paper_queries(spark, sf), 3, ["paper_id"]
+        inputs.chunk_index(spark, sf).corpus, inputs.paper_queries(spark, sf), 3, ["paper_id"]
     )
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
@@ -347,7 +347,7 @@ def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query("hybrid_topk", HITS.format("dh"))
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.hybrid_search(
-        inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), inputs.queries(spark, sf)
+        inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), inputs.queries(spark, sf), index=inputs.doc_index(spark, sf)
     )
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
@@ -356,7 +356,7 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_year_filter(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.hybrid_search(
         inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), inputs.queries(spark, sf),
-        year_min=2012,
+        year_min=2012, index=inputs.doc_index(spark, sf),
     )
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
@@ -370,8 +370,9 @@ def _dated(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_year_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Every query with a year limit of its own."""
     asked = _dated(spark, sf)
-    corpus = fusion.with_year_scopes(inputs.doc_chunks(spark, sf), asked)
-    hits = fusion.hybrid_search(corpus, inputs.vectors(spark, sf), asked, scope=["year_min"])
+    hits = fusion.hybrid_search(
+        inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), asked, scope=["year_min"], index=inputs.doc_index(spark, sf)
+    )
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 
@@ -392,7 +393,9 @@ def hybrid_mixed_filters(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(_dated(spark, sf).withColumns({"paper_id": F.lit(""), "query_id": F.concat(F.lit("y"), "query_id")}))
         .unionByName(in_paper.withColumns({"year_min": none["year_min"], "query_id": F.concat(F.lit("p"), "query_id")}))
     )
-    hits = fusion.mixed_search(inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), asked)
+    hits = fusion.mixed_search(
+        inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), asked, index=inputs.doc_index(spark, sf)
+    )
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
 
@@ -400,7 +403,7 @@ def hybrid_mixed_filters(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_in_paper(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.hybrid_search(
         inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), inputs.vector_queries(spark, sf),
-        scope=["paper_id"],
+        scope=["paper_id"], index=inputs.doc_index(spark, sf),
     )
     return hits.select("query_id", "chunk_id", _score(), "rank")
 
@@ -412,7 +415,7 @@ def hybrid_in_paper(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ask_hits(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.ask(
-        inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), inputs.queries(spark, sf)
+        inputs.doc_chunks(spark, sf), inputs.vectors(spark, sf), inputs.queries(spark, sf), inputs.doc_index(spark, sf)
     )
     return hits.select(
         "query_id", "rank", "paper_id", "text", "score",
@@ -460,7 +463,7 @@ def topic_candidates(spark: SparkSession, sf: str) -> DataFrame:
         inputs.finals(spark, sf), inputs.trace(spark, sf), store.list_papers(stored)
     )
     return candidates.topic_candidates(
-        stored, inputs.vectors(spark, sf), inputs.queries(spark, sf), named
+        stored, inputs.vectors(spark, sf), inputs.queries(spark, sf), named, index=inputs.doc_index(spark, sf)
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from litweave.operators.cards import parse_cards
 from litweave.operators.graph import Graph, build_graph
+from litweave.operators.keyword_index import KeywordIndex, build_keyword_index
 from litweave.operators.quality import check_quotes
 from litweave.plans.ingest import chunk_rows, parse_papers
 from litweave.session import written
@@ -97,6 +98,26 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "chunks", lambda: chunk_rows(parsed(spark, sf_dir)))
 
 
+_indexes: dict[tuple[str, str, str], KeywordIndex] = {}
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The keyword index of the chunk table, built once per session and data folder."""
+    return _index(spark, sf_dir, "chunks", lambda: chunks(spark, sf_dir))
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The keyword index of whole documents."""
+    return _index(spark, sf_dir, "documents", lambda: doc_chunks(spark, sf_dir))
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str, corpus: Callable[[], DataFrame]) -> KeywordIndex:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        _indexes[key] = build_keyword_index(corpus())
+    return _indexes[key]
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per benchmark passage; its vector is the embedding with the same number."""
     items = table(spark, sf_dir, "benchmark")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litweave import fixed
@@ -51,7 +51,6 @@ def hit_order() -> list[Column]:
 def postings(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, chunk, dl, term, tf): one row per distinct term of a chunk."""
     keys = _keys(*scope, *CHUNK_KEYS)
-    texts = chunks.select(*keys, "text")
 
     def rows(tokens: Column) -> Column:
         # The length goes into the exploded rows: beside them it would be counted once per row.
@@ -64,7 +63,16 @@ def postings(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         )
         return F.concat(F.coalesce(counted, F.array().cast(_POSTING)), F.array(any_chunk))
 
-    return texts.select(*keys, F.inline(let(search_tokens(F.col("text")), rows)))
+    if "terms" in chunks.columns:
+        return _stored_postings(chunks, keys)
+    return chunks.select(*keys, F.inline(let(search_tokens(F.col("text")), rows)))
+
+
+def _stored_postings(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from stored `terms` and `dl`."""
+    any_chunk = F.array(F.struct(F.lit(ANY_CHUNK).alias("term"), F.lit(0).alias("tf")))
+    terms = F.concat(F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int>>")), any_chunk)
+    return chunks.select(*keys, "dl", F.inline(terms))
 
 
 def term_statistics(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +90,11 @@ def term_statistics(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         total = F.struct(F.lit(ANY_CHUNK).alias("term"), F.size(tokens).alias("tokens"))
         return F.concat(terms, F.array(total))
 
-    found = chunks.select(*scope, F.inline(let(search_tokens(F.col("text")), rows)))
+    if "terms" in chunks.columns:
+        tokens = F.when(F.col("term") == ANY_CHUNK, F.col("dl")).otherwise(F.lit(0)).alias("tokens")
+        found = _stored_postings(chunks, scope).select(*scope, "term", tokens)
+    else:
+        found = chunks.select(*scope, F.inline(let(search_tokens(F.col("text")), rows)))
     return found.groupBy(*scope, "term").agg(
         F.count("*").alias("df"), F.sum("tokens").alias("tokens")
     )
@@ -146,11 +158,15 @@ def query_terms(
     else:
         totals = stats.select(F.struct("n_chunks", "avgdl", "mean_idf")).scalar()
         known = known.withColumn("s", totals).select("*", "s.n_chunks", "s.avgdl", "s.mean_idf")
+    return weighed(known, "query_id", *scope)
+
+
+def weighed(known: DataFrame, *keys: str) -> DataFrame:
+    """known(keys, term, times, df, n_chunks, avgdl, mean_idf) → (keys, term, weight, avgdl, negative)."""
     raw = idf(F.col("n_chunks"), F.col("df"))
     floored = F.when(raw < 0, fixed.BM25_EPSILON * F.col("mean_idf")).otherwise(raw)
     return known.select(
-        "query_id",
-        *scope,
+        *keys,
         "term",
         (floored * (fixed.BM25_K1 + 1) * F.col("times")).alias("weight"),
         "avgdl",
@@ -212,81 +228,6 @@ def bm25(
     return top_n(merged, ["query_id"], hit_order(), n).select(*result)
 
 
-def corpus_positions(chunks: DataFrame) -> DataFrame:
-    """The chunk keys with `position`, 0-based in corpus order.
-
-    Range partitions number their own rows; one count per partition meets in one task. A paper of
-    any size is split by chunk_index.
-    """
-    spread = chunks.select(*CHUNK_KEYS).repartitionByRange("paper_id", "chunk_index")
-    spread = spread.sortWithinPartitions("paper_id", "chunk_index")
-    numbered = written(spread.withColumn("_id", F.monotonically_increasing_id()), "positions").select(
-        *CHUNK_KEYS,
-        F.shiftright("_id", 33).alias("_part"),
-        F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = numbered.groupBy("_part").agg(F.count("*").alias("_rows")).select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-    )
-    return numbered.join(offsets, "_part").select(
-        *CHUNK_KEYS, (F.col("_at") + F.col("_offset")).alias("position")
-    )
-
-
-def keyword_ranks(
-    chunks: DataFrame, queries: DataFrame, marks: DataFrame, statistics: DataFrame
-) -> DataFrame:
-    """(query_id, chunk_id, rank): place in the full BM25 list of each marks(query_id, chunk_id).
-
-    Meant for few marks per query: the sorted marks of a query travel to its scored chunks, every
-    chunk finds between which marks it stands, and only counts per gap are shuffled. Chunks without
-    a listed term have score 0 and are counted by their position in the corpus.
-    """
-    terms = written(query_terms(queries.select("query_id", "text"), statistics), "query-terms")
-    scored = bm25_scores(postings(chunks), terms).select(
-        "query_id", *CHUNK_KEYS, (-order_score(F.col("score"))).alias("down")
-    )
-    scored = written(scored, "scored")
-    total = chunks.select(F.count("*")).scalar()
-    known = scored.select("query_id", "chunk_id", "down")
-    placed = marks.select("query_id", "chunk_id").join(corpus_positions(chunks), "chunk_id").join(
-        known, ["query_id", "chunk_id"], "left"
-    )
-    placed = written(placed.na.fill(0, ["down"]), "marks")
-    by_score = F.struct("down", "paper_id", "chunk_index")
-    by_place = F.struct("paper_id", "chunk_index")
-    packed = placed.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(by_score)).alias("scores"),
-        F.sort_array(F.collect_list(by_place)).alias("places"),
-    )
-
-    def not_after(listed: str, own: Column) -> Column:
-        return let(own, lambda here: F.size(F.filter(listed, lambda mark: mark <= here)))
-
-    gaps = scored.join(packed, "query_id").select(
-        "query_id", not_after("scores", by_score).alias("i"), not_after("places", by_place).alias("j")
-    )
-    gaps = gaps.groupBy("query_id", "i", "j").agg(F.count("*").alias("rows"))
-    numbered = placed.join(packed, "query_id").select(
-        placed["query_id"], "chunk_id", "down", "position",
-        F.array_position("scores", by_score).alias("i_at"),
-        F.array_position("places", by_place).alias("j_at"),
-    )
-    # A mark's own place is 1-based, so "less than" selects the gaps before it.
-    met = numbered.join(gaps, "query_id", "left").groupBy("query_id", "chunk_id", "down", "position").agg(
-        F.sum(F.when(F.col("i") < F.col("i_at"), F.col("rows")).otherwise(0)).alias("better"),
-        F.sum(F.when(F.col("j") < F.col("j_at"), F.col("rows")).otherwise(0)).alias("matched_before"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("matched"),
-    )
-    unmatched = (
-        F.when(F.col("down") < 0, F.lit(0))
-        .when(F.col("down") == 0, F.col("position") - F.col("matched_before"))
-        .otherwise(total - F.col("matched"))
-    )
-    return met.select("query_id", "chunk_id", (F.col("better") + unmatched).cast("int").alias("rank"))
-
-
 def _any_chunk(queries: DataFrame, scope: Sequence[str]) -> DataFrame:
     return queries.select(
         "query_id",

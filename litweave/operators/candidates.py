@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from litweave import fixed
 from litweave.functions.text import cut, paper_ids_in
-from litweave.operators.bm25 import CHUNK_KEYS, bm25, keyword_ranks, term_statistics
+from litweave.operators.bm25 import CHUNK_KEYS, bm25
 from litweave.operators.fusion import fuse, fused_order, fused_score, located
+from litweave.operators.keyword_index import KeywordIndex, build_keyword_index, ranks, search
 from litweave.operators.ranking import rank_all, top_n
 from litweave.operators.vectors import nearest, vector_ranks
 from litweave.session import written
@@ -92,7 +93,11 @@ def chunk_pool(
 
 
 def leading_chunks(
-    chunks: DataFrame, vectors: DataFrame, topics: DataFrame, papers: int = fixed.MAX_CANDIDATES
+    chunks: DataFrame,
+    vectors: DataFrame,
+    topics: DataFrame,
+    papers: int = fixed.MAX_CANDIDATES,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """The part of the growing pool that holds the first `papers` papers of each topic.
 
@@ -111,7 +116,7 @@ def leading_chunks(
     limit = max(all_papers * fixed.POOL_PER_PAPER, fixed.MIN_POOL)
     cut_off = limit * fixed.OVERFETCH
     most, wanted = max(1, min(cut_off, total)), max(1, min(papers, named))
-    statistics = written(term_statistics(chunks), "term-statistics")
+    index = index or build_keyword_index(chunks)
 
     def nth(rank: str) -> Column:
         return F.get(F.sort_array(F.collect_list(rank)), F.lit(wanted - 1))
@@ -120,7 +125,7 @@ def leading_chunks(
     open_topics, heads, depth = topics, None, FIRST_DEPTH
     while True:
         n = min(depth, most)
-        lists = written(fuse(nearest(source, open_topics, n), bm25(chunks, open_topics, n, statistics=statistics)), "heads")
+        lists = written(fuse(nearest(source, open_topics, n), search(index, open_topics, n)), "heads")
         firsts = lists.where("paper_id <> ''").groupBy("query_id", "paper_id").agg(
             F.min("v_rank").alias("v_rank"), F.min("k_rank").alias("k_rank")
         )
@@ -140,7 +145,7 @@ def leading_chunks(
     # The factor keeps chunks that rounding puts just below the bound.
     able = written(heads.where("raw + rest >= bound * (1 - 1e-9)"), "able")
     by_vector = vector_ranks(source, topics, able.where("v_rank is null")).withColumnRenamed("rank", "v_found")
-    by_word = keyword_ranks(chunks, topics, able.where("k_rank is null"), statistics).withColumnRenamed("rank", "k_found")
+    by_word = ranks(index, topics, able.where("k_rank is null")).withColumnRenamed("rank", "k_found")
     keys = ["query_id", "chunk_id"]
     placed = able.join(by_vector, keys, "left").join(by_word, keys, "left").select(
         "query_id", *CHUNK_KEYS,
@@ -180,8 +185,9 @@ def topic_candidates(
     topics: DataFrame,
     named: DataFrame,
     limit: int = fixed.MAX_CANDIDATES,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Named papers, then the first retrieved ones."""
     # Of the first `limit` papers at most as many are named as named papers take places.
-    ranked = leading_chunks(chunks, vectors, topics, limit)
+    ranked = leading_chunks(chunks, vectors, topics, limit, index)
     return merge_candidates(named, paper_rollup(ranked), limit)

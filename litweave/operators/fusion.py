@@ -11,6 +11,7 @@ from litweave import fixed
 from litweave.functions.numbers import round_exact
 from litweave.functions.text import cut
 from litweave.operators.bm25 import CHUNK_KEYS, bm25
+from litweave.operators.keyword_index import KeywordIndex, search
 from litweave.operators.ranking import top_n
 from litweave.operators.vectors import nearest
 
@@ -80,6 +81,7 @@ def hybrid_search(
     year_min: int | None = None,
     paper_id: str | None = None,
     scope: Sequence[str] = (),
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Vector and keyword retrieval fused per query.
 
@@ -87,10 +89,20 @@ def hybrid_search(
     queries(query_id, text, embedding[, scope…]). Each list is cut at 3 × top_k before fusing.
     `scope=["paper_id"]` searches each query only inside the paper it names. Without `vectors`
     the keyword list is fused alone. A query whose filtered corpus is empty has no hits.
+    With an `index` of the chunks no text is read: papers are searched by their stored terms, all else by
+    posting blocks, and limits on the year are conditions on the shards.
     """
-    corpus = chunks.where(paper_filter(year_min, paper_id))
     fetch = fixed.OVERFETCH * top_k
-    keyword_hits = bm25(corpus, queries, fetch, scope)
+    if index is not None:
+        chunks = index.corpus if not scope or "year_min" not in scope else with_year_scopes(index.corpus, queries)
+    corpus = chunks.where(paper_filter(year_min, paper_id))
+    if index is not None and not paper_id and "paper_id" not in scope:
+        asked = queries.select("query_id", "text", *scope)
+        if year_min is not None:
+            asked = asked.withColumn("year_min", F.lit(year_min))
+        keyword_hits = search(index, asked, fetch)
+    else:
+        keyword_hits = bm25(corpus, queries, fetch, scope)
     if vectors is None:
         vector_hits = keyword_hits.where(F.lit(False))
     else:
@@ -104,6 +116,7 @@ def mixed_search(
     vectors: DataFrame | None,
     queries: DataFrame,
     top_k: int = fixed.DEFAULT_TOP_K,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Hybrid retrieval for queries(query_id, text, embedding, year_min, paper_id) that each have
     both filters, one, or none: a null year and a null or blank paper are no filter.
@@ -114,12 +127,15 @@ def mixed_search(
     by_year = F.col("year_min").isNotNull()
     by_paper = F.trim(F.coalesce("paper_id", F.lit(""))) != ""
     own = queries.where(by_paper & by_year)
+    if index is not None:
+        chunks = index.corpus
     in_paper = chunks.join(own.select("paper_id").distinct(), "paper_id", "left_semi")
     dated = queries.where(by_year & ~by_paper).drop("paper_id")
+    of_years = chunks if index is not None else with_year_scopes(chunks, dated)
     found = [
-        hybrid_search(chunks, vectors, queries.where(~by_year & ~by_paper).drop("year_min", "paper_id"), top_k),
-        hybrid_search(chunks, vectors, queries.where(by_paper & ~by_year).drop("year_min"), top_k, scope=["paper_id"]),
-        hybrid_search(with_year_scopes(chunks, dated), vectors, dated, top_k, scope=["year_min"]),
+        hybrid_search(chunks, vectors, queries.where(~by_year & ~by_paper).drop("year_min", "paper_id"), top_k, index=index),
+        hybrid_search(chunks, vectors, queries.where(by_paper & ~by_year).drop("year_min"), top_k, scope=["paper_id"], index=index),
+        hybrid_search(of_years, vectors, dated, top_k, scope=["year_min"], index=index),
         hybrid_search(with_year_scopes(in_paper, own), vectors, own, top_k, scope=["paper_id", "year_min"]),
     ]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
@@ -150,13 +166,16 @@ def rag_query(
     year_min: int = 0,
     paper_id: str = "",
     scope: Sequence[str] = (),
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Hybrid search for display; year 0 and an empty paper id mean "no filter"."""
     found = hybrid_search(
-        chunks, vectors, queries, top_k, year_min or None, paper_id or None, scope
+        chunks, vectors, queries, top_k, year_min or None, paper_id or None, scope, index
     )
     return hits(found, chunks)
 
 
-def ask(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame) -> DataFrame:
-    return rag_query(chunks, vectors, queries, fixed.ASK_TOP_K)
+def ask(
+    chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, index: KeywordIndex | None = None
+) -> DataFrame:
+    return rag_query(chunks, vectors, queries, fixed.ASK_TOP_K, index=index)
