@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,7 +20,9 @@ WINDOW = 13
 #: Words of the short grams among which a window's minimiser is chosen.
 GRAM = 3
 #: Buckets for each shuffle partition; a task holds one bucket at a time.
-BUCKETS_PER_PARTITION = 32
+BUCKETS_PER_PARTITION = 16
+#: Bytes of super-k-mers gathered before they are packed, and of a text that is cut into words at a time.
+GATHERED, SLICE = 1 << 24, 1 << 20
 #: Minimisers are classed by this many values to find heavy ones.
 CLASSES = 1 << 16
 #: Documents looked at to find heavy minimisers. It decides the route of a window, never a result.
@@ -27,6 +30,7 @@ SAMPLE_ROWS = 4000
 
 _PACKED = "bucket int, packed binary"
 _RANGES = "doc_id long, text_key long, first int, after int"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,7 +69,8 @@ def _heavy_classes(docs: DataFrame, window: int, share: float) -> np.ndarray:
         total = np.zeros(CLASSES, np.int64)
         for batch in batches:
             for text in batch["text"]:
-                total += np.bincount(_classes(minimisers(words(text), window)).astype(np.int64), minlength=CLASSES)
+                for _, found in _slices(text, window):
+                    total += np.bincount(_classes(minimisers(found, window)).astype(np.int64), minlength=CLASSES)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"class": some, "n": total[some]})
 
@@ -78,9 +83,10 @@ def _heavy_classes(docs: DataFrame, window: int, share: float) -> np.ndarray:
 
 
 class _Packer:
-    """Super-k-mers of one batch, gathered as columns and packed by bucket."""
+    """Super-k-mers of some documents, gathered as columns and packed by bucket."""
 
     def __init__(self) -> None:
+        self.bytes = 0
         self.bucket: list[np.ndarray] = []
         self.doc: list[np.ndarray] = []
         self.key: list[np.ndarray] = []
@@ -88,15 +94,16 @@ class _Packer:
         self.size: list[np.ndarray] = []
         self.text: list[bytes] = []
 
-    def add(self, doc: int, key: int, joined: bytes, starts, ends, bucket, first, last, window: int) -> None:
+    def add(self, doc: int, key: int, at: int, joined: bytes, starts, ends, bucket, first, last, window: int) -> None:
         n = len(first)
         self.bucket.append(bucket)
         self.doc.append(np.full(n, doc, np.int64))
         self.key.append(np.full(n, key, np.int64))
-        self.first.append(first.astype(np.int32))
+        self.first.append((first + at).astype(np.int32))
         self.size.append((last - first + window).astype(np.int32))
         begin, stop = starts[first].tolist(), ends[last + window - 1].tolist()
         self.text += [joined[a:b] for a, b in zip(begin, stop)]
+        self.bytes += sum(stop) - sum(begin)
 
     def rows(self) -> pd.DataFrame:
         if not self.text:
@@ -130,28 +137,47 @@ def _offsets(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1] + 1)), ends
 
 
+def _slices(text: str | None, window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The words of a text a slice at a time, each after the last window - 1 words of the one before,
+    so that every window lies in one slice; and the number of the slice's first word."""
+    raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+    at, first, found = 0, 0, []
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + SLICE) if at + SLICE < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        held = found[-(window - 1) :] if window > 1 else []
+        first += len(found) - len(held)
+        found = held + raw[at:end].split()
+        at = end
+        yield first, found
+
+
 def _documents(batch: pd.DataFrame, window: int):
-    """(doc, key, words joined by spaces, word starts, word ends, minimisers) of long enough texts."""
+    """(doc, key, number of the first word, words joined by spaces, word starts, word ends, minimisers)
+    of the slices of long enough texts."""
     for doc, key, text in zip(batch["doc_id"].tolist(), batch["text_key"].tolist(), batch["text"]):
-        found = words(text)
-        if len(found) >= window:
-            yield doc, key, b" ".join(found), *_offsets(found), minimisers(found, window)
+        for at, found in _slices(text, window):
+            if len(found) >= window:
+                yield doc, key, at, b" ".join(found), *_offsets(found), minimisers(found, window)
 
 
 def _super_kmers(buckets: int, heavy: np.ndarray, window: int) -> Callable:
     """Texts → packed super-k-mers by bucket. Windows with a heavy minimiser are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = _Packer()
         for batch in batches:
-            packer = _Packer()
-            for doc, key, joined, starts, ends, low in _documents(batch, window):
+            for doc, key, at, joined, starts, ends, low in _documents(batch, window):
                 begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
                 last = np.append(begin[1:], len(low)) - 1
                 light = ~np.isin(_classes(low[begin]), heavy)
                 begin, last = begin[light], last[light]
                 bucket = (_mixed(low[begin]) % np.uint64(buckets)).astype(np.int64)
-                packer.add(doc, key, joined, starts, ends, bucket, begin, last, window)
-            yield packer.rows()
+                packer.add(doc, key, at, joined, starts, ends, bucket, begin, last, window)
+                if packer.bytes >= GATHERED:
+                    yield packer.rows()
+                    packer = _Packer()
+        yield packer.rows()
 
     return run
 
@@ -229,10 +255,10 @@ def _heavy_windows(heavy: np.ndarray, window: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[at : at + 1000] for b in batches for at in range(0, len(b), 1000)):
             places: dict[bytes, list[tuple[int, int, int]]] = {}
-            for doc, key, joined, starts, ends, low in _documents(batch, window):
+            for doc, key, first, joined, starts, ends, low in _documents(batch, window):
                 at = np.flatnonzero(np.isin(_classes(low), heavy))
                 for i, a, b in zip(at.tolist(), starts[at].tolist(), ends[at + window - 1].tolist()):
-                    places.setdefault(joined[a:b], []).append((doc, key, i))
+                    places.setdefault(joined[a:b], []).append((doc, key, first + i))
             yield pd.DataFrame(
                 {
                     "words": list(places),
@@ -300,8 +326,9 @@ def _without(texts: pd.Series, first: pd.Series, after: pd.Series) -> pd.DataFra
     return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
 
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(text)
+def _text_key(text: Column, repeated: bool) -> Column:
+    """Tells rows of one identifier apart; it need not travel where no identifier repeats."""
+    return F.xxhash64(text) if repeated else F.lit(0).cast("long")
 
 
 def without_repeats(
@@ -320,13 +347,14 @@ def without_repeats(
     """
     rows = df.select(row_of(df).alias("row"))
     text = F.col(f"row.`{text_col}`")
-    docs = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    ).withColumn("text_key", _text_key(F.col("text")))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    docs = docs.withColumn("text_key", _text_key(F.col("text"), repeated))
+    # A row that is there many times has the same ranges each time.
     ranges = repeated_ranges(docs, window).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("first", "after")).alias("ranges")
+        F.collect_set(F.struct("first", "after")).alias("ranges")
     )
-    keyed = rows.withColumns({"id": F.col(f"row.`{id_col}`").cast("long"), "key": _text_key(text)})
+    keyed = rows.withColumns({"id": F.col(f"row.`{id_col}`").cast("long"), "key": _text_key(text, repeated)})
     met = keyed.join(ranges, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
     cut = met.select("row", _without(text, F.col("ranges.first"), F.col("ranges.after")).alias("cut"))
     return cut.select("row", F.col("cut.kept").alias("kept_text"), F.col("cut.n_words").alias("n_words"), F.col("cut.n_removed").alias("n_removed"))
