@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litweave.session import written
 
-__all__ = ["components", "grouped", "partitions", "placed", "row_of", "seeded_rank", "words", "written"]
+__all__ = ["components", "partitions", "placed", "row_of", "seeded_rank", "words", "written"]
 
 #: Word characters of the contracts: everything but the ASCII white space. `bytes.split()` cuts
 #: UTF-8 text at exactly these bytes.
@@ -62,23 +58,6 @@ def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return met.select(*columns, "at", (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "total")
 
 
-def grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Batches sorted by `key` → one frame per key. One key and one batch are held at a time."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        values = batch[key].to_numpy()
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and held[-1][key].iloc[0] != values[a]:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(batch.iloc[a:b])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _star_round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; rows are (a, b) with b < a."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grouped, partitions, placed, written
+from litweave.functions.batches import grouped
+
+from .common import partitions, placed, written
 
 #: Children of a node.
 FAN = 16
@@ -149,7 +151,7 @@ def _coordinates(trees: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     """Leaves sorted by leaf partition → the coordinates each partition has to fetch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in grouped(batches, "part"):
+        for frame in grouped(batches, ["part"]):
             frame = frame.sort_values(["tree", "idx"]).drop_duplicates(["tree", "idx"])
             found = missing(*(frame[c].to_numpy(np.int64) for c in ("tree", "idx", "total")), trees)
             yield found.assign(part=frame["part"].iloc[0])[["part", "tree", "level", "idx"]]
@@ -222,7 +224,7 @@ def _proofs(trees: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     """Rows sorted by leaf partition, its own leaves and what it fetched → proofs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in grouped(batches, "part"):
+        for frame in grouped(batches, ["part"]):
             keys = zip(frame["tree"].tolist(), frame["level"].tolist(), frame["idx"].tolist())
             part = _Part(dict(zip(keys, frame["digest"].tolist())), trees)
             own = frame[frame["own"]]

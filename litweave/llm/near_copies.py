@@ -2,7 +2,8 @@
 
 SimHash links are the first candidates. Those it misses are found by a prefix filter, which is exact:
 in any fixed order of shingles, two sets of that similarity share one among the first
-n - ceil(0.8 n) + 1 of each. All candidates are confirmed on the full sets.
+n - ceil(0.8 n) + 1 of each. All candidates are confirmed on the full sets, which are made once from the
+texts; they meet in blocks of similar texts, so that a set moves once per pair of blocks and not per candidate.
 """
 
 from __future__ import annotations
@@ -12,24 +13,29 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litweave.functions.batches import grouped
+
 from .common import components, partitions, seeded_rank, written
 from .simhash import _folded, fingerprint_links, shingle_hashes
 
 SHINGLE = 5
+#: A shingle is known by so many bytes of its hash.
+WIDTH = 6
 #: Texts from which the shingles' frequencies are estimated, and how many frequent shingles are kept.
 #: They only decide the order of the prefix filter, not what it finds.
 SAMPLE, FREQUENT = 2_000, 50_000
-#: Nodes are marked in so many slots before their sets are joined, so that few sets move in vain.
-SLOTS = 1 << 22
-#: Slots of the parities that rule out candidates before their sets are joined.
+#: Slots of the parities that rule out candidates before their sets move, at least and by size; powers of two.
 PARITIES = 1024
+#: Bytes of the sets (or parities) of one block, and nodes of a block of parities.
+BLOCK_BYTES, BLOCK_NODES = 1 << 23, 2048
+#: Texts whose sets are made together.
+TOGETHER = 256
 
-#: Similar sets: 9 · overlap >= 4 · (both sizes), which is overlap / union >= 0.8.
-_SIZES = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
-_PLACES = "9 * (least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos)) >= 4 * (a.n + b.n)"
+_MASK = np.uint64((1 << 8 * WIDTH) - 1)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -38,55 +44,79 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def _set(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
+    return np.unique(hashes & _MASK) if len(hashes) else np.zeros(1, np.uint64)
+
 
+def _packed(found: np.ndarray) -> bytes:
+    return np.ascontiguousarray(found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
 
-def _node(found: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64))
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(packed, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
 
 
 def _parities(found: np.ndarray) -> bytes:
     """One bit per slot: whether an odd number of shingles fall into it. Two sets differ in at least as
-    many shingles as their parities differ in bits."""
-    return np.packbits((np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+    many shingles as their parities differ in bits; large sets have more slots."""
+    slots = max(PARITIES, 1 << (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found % np.uint64(slots)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folds(odd: bytes, slots: int) -> np.ndarray:
+    """Parities for fewer slots."""
+    words = np.frombuffer(odd, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, slots // 64), axis=0)
+
+
+_NODE = "node long, fp long, n long, odd binary, packed binary"
 
 
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts → their set's digest, SimHash, size and parities."""
+    """Texts → their set, its digest, SimHash, size and parities."""
     for batch in batches:
-        hashes = [shingle_hashes(t, SHINGLE) for t in batch["text"]]
-        fps = np.fromiter((_folded(h) for h in hashes), np.uint64, len(hashes))
-        sets = [_set(h) for h in hashes]
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"], "node": [_node(x) for x in sets], "fp": fps.view(np.int64),
-                "n": [len(x) for x in sets], "odd": [_parities(x) for x in sets],
-            }
-        )
+        for at in range(0, len(batch), TOGETHER):
+            part = batch.iloc[at : at + TOGETHER]
+            hashes = [shingle_hashes(t, SHINGLE) for t in part["text"]]
+            fps = np.fromiter((_folded(h) for h in hashes), np.uint64, len(hashes))
+            sets = [_set(h) for h in hashes]
+            packed = [_packed(x) for x in sets]
+            yield pd.DataFrame(
+                {
+                    "doc_id": part["doc_id"].to_numpy(),
+                    "node": np.fromiter(map(xxhash.xxh64_intdigest, packed), np.uint64, len(packed)).view(np.int64),
+                    "fp": fps.view(np.int64), "n": [len(x) for x in sets], "odd": [_parities(x) for x in sets], "packed": packed,
+                }
+            )
 
 
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for text in batch["text"]:
-            yield pd.DataFrame({"h": shingle_set(text).view(np.int64)})
+        for packed in batch["packed"]:
+            yield pd.DataFrame({"h": _unpacked(packed).view(np.int64)})
 
 
 def _prefixes(frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Texts → the first shingles of each, rare ones first."""
+    """Sets → the first shingles of each, rare ones first; copies in a task are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, len(batch), 256):
+            for at in range(0, len(batch), TOGETHER):
                 parts = [np.empty((4, 0), np.int64)]
-                for text in batch["text"].iloc[at : at + 256]:
-                    found = shingle_set(text)
+                for node, packed in zip(batch["node"].iloc[at : at + TOGETHER].tolist(), batch["packed"].iloc[at : at + TOGETHER]):
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    found = _unpacked(packed)
                     n, often = len(found), np.zeros(len(found), np.int64)
                     if len(frequent):
                         place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
                         often = np.where(frequent[place] == found, counts[place], 0)
                     first = found[np.argsort(often, kind="stable")[: n - -(-4 * n // 5) + 1]].view(np.int64)
                     k = len(first)
-                    parts.append(np.stack([first, np.full(k, _node(found)), np.full(k, n), np.arange(k)]))
+                    parts.append(np.stack([first, np.full(k, node), np.full(k, n), np.arange(k)]))
                 h, node, n, pos = np.concatenate(parts, axis=1)
                 yield pd.DataFrame({"h": h, "node": node, "n": n.astype(np.int32), "pos": pos.astype(np.int32)})
 
@@ -95,90 +125,149 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by shingle and node → those of shingles in several nodes, with the first node, or
-    the row's own where sizes and places rule out that the two are similar."""
-
-    def kept(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["h", "node"])
-        h, node = frame["h"].to_numpy(), frame["node"].to_numpy()
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(start, len(h)))
-        n, pos = frame["n"].to_numpy(np.int64), frame["pos"].to_numpy(np.int64)
-        first, first_n, first_pos = (np.repeat(x[start], size) for x in (node, n, pos))
-        fits = 5 * np.minimum(n, first_n) >= 4 * np.maximum(n, first_n)
-        fits &= 9 * (np.minimum(pos, first_pos) + np.minimum(n - pos, first_n - first_pos)) >= 4 * (n + first_n)
-        return frame.assign(first=np.where(fits, first, node))[np.repeat(size > 1, size)]
-
-    tail: list[pd.DataFrame] = []
+    the row's own where sizes and places rule out that the two are similar. Of the shingle that may go on
+    only the first and the last row are held."""
+    first: pd.DataFrame | None = None  # of the open shingle
+    last, several = None, False
     for batch in batches:
         if not len(batch):
             continue
-        # The last shingle may go on in the next batch.
-        if tail and batch["h"].iloc[-1] == tail[-1]["h"].iloc[0] == batch["h"].iloc[0]:
-            tail.append(batch)
-            continue
-        held = pd.concat([*tail, batch], ignore_index=True)
-        h = held["h"].to_numpy()
-        last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
-        if last:
-            yield kept(held.iloc[:last])
-        tail = [held.iloc[last:]]
-    if tail:
-        yield kept(pd.concat(tail, ignore_index=True))
+        joins = first is not None and batch["h"].iloc[0] == first["h"].iloc[0]
+        rows = pd.concat([first, batch], ignore_index=True) if joins else batch
+        h, node = rows["h"].to_numpy(), rows["node"].to_numpy()
+        begins = np.append(True, h[1:] != h[:-1])
+        new = np.append(True, begins[1:] | (node[1:] != node[:-1]))
+        if joins and len(rows) > 1:
+            new[1] = node[1] != last
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, len(h)))
+        many = np.add.reduceat(new.astype(np.int64), start) > 1
+        own = np.repeat(many, size) & new
+        if joins and several:
+            # The first row has been given already; the rows after it belong to it in any case.
+            own[: size[0]] = new[: size[0]]
+            own[0] = False
+        n, pos = rows["n"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64)
+        top, top_n, top_pos = (np.repeat(x[start], size) for x in (node, n, pos))
+        fits = 5 * np.minimum(n, top_n) >= 4 * np.maximum(n, top_n)
+        fits &= 9 * (np.minimum(pos, top_pos) + np.minimum(n - pos, top_n - top_pos)) >= 4 * (n + top_n)
+        yield rows.assign(first=np.where(fits, top, node))[own]
+        several = bool(many[-1]) or (joins and len(start) == 1 and several)
+        first, last = rows.iloc[[start[-1]]], node[-1]
 
 
-def _sets(bits: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Texts → node and set, for the nodes whose slot is marked."""
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose sizes and parities don't rule out that they are similar: not more than a ninth of
+    both sizes differs."""
+    for batch in batches:
+        good = [
+            9 * int(np.bitwise_count(_folds(x, k) ^ _folds(y, k)).sum()) <= m + n and 5 * min(m, n) >= 4 * max(m, n)
+            for x, y, m, n in zip(batch["odd_a"], batch["odd_b"], batch["n_a"].tolist(), batch["n_b"].tolist())
+            for k in (8 * min(len(x), len(y)),)
+        ]
+        yield batch.loc[np.array(good, bool), ["a", "b"]]
+
+
+def _cut_blocks(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Nodes in order, with their bytes → their block: neighbours of bounded number and bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, count, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            found = [(_node(x), x.tobytes()) for x in map(shingle_set, batch["text"])]
-            yield pd.DataFrame([x for x in found if bits[x[0] % SLOTS >> 3] >> (x[0] % SLOTS & 7) & 1], columns=["node", "packed"])
+            out = np.empty(len(batch), np.int64)
+            for i, size in enumerate(batch["bytes"].tolist()):
+                if count and (count >= most or held + size > BLOCK_BYTES):
+                    block, count, held = block + 1, 0, 0
+                out[i], count, held = block, count + 1, held + size
+            yield pd.DataFrame({"node": batch["node"], "block": out})
 
     return run
 
 
-def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch["x"], batch["y"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-        yield batch.loc[np.array(good, bool), ["a", "b"]]
+def _blocks(nodes: DataFrame, near: DataFrame, most: int, name: str) -> DataFrame:
+    """nodes(node, bytes) → (node, block). Nodes that near(node, label) gives the same smallest label come
+    together; which ones do decides what moves, never what is found."""
+    labels = near.groupBy("node").agg(F.min("label").alias("label"))
+    sorted_nodes = nodes.join(labels, "node", "left").repartitionByRange(partitions(nodes.sparkSession), "label", "node").sortWithinPartitions("label", "node")
+    return written(sorted_nodes.select("node", "bytes").mapInPandas(_cut_blocks(most), "node long, block long"), name)
 
 
-def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose parities don't rule out that they are similar: not more than a ninth of both
-    sizes differs."""
-    for batch in batches:
-        if len(batch):
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("odd_a", "odd_b"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.loc[9 * differ <= (batch["n_a"] + batch["n_b"]).to_numpy(), ["a", "b"]]
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of block pairs, sets and candidate pairs → the pairs that are similar."""
+    for frame in grouped(batches, ["x", "y"]):
+        given = frame["packed"].notna()
+        sets = {node: _unpacked(x) for node, x in zip(frame.loc[given, "a"].tolist(), frame.loc[given, "packed"])}
+        pairs, good = frame.loc[~given, ["a", "b"]], []
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+            x, y = sets[a], sets[b]
+            good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+        yield pairs[np.array(good, bool)]
 
 
 def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b) those that are similar; nodes(node, n, odd)."""
+    """Of pairs(a, b) those that are similar; texts(node, packed), nodes(node, n, odd)."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for c in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
     pairs = written(pairs.mapInPandas(_possible, "a long, b long"), "near-candidates")
     if pairs.isEmpty():
         return pairs
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    marked = np.zeros(SLOTS, np.uint8)
-    marked[nodes.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(int)] = 1
-    bits = np.packbits(marked, bitorder="little")
-    sets = texts.mapInPandas(_sets(bits), "node long, packed binary").join(nodes, "node", "left_semi")
-    sets = written(sets.dropDuplicates(["node"]), "near-sets")
-    x = sets.select(F.col("node").alias("a"), F.col("packed").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("packed").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").mapInPandas(_similar, "a long, b long"), "near-links")
-
-
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    both = pairs.select(F.col("a").alias("node"), F.col("a").alias("label")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("label")))
+    used = both.select("node").distinct().join(nodes.select("node", (F.col("n") * WIDTH).alias("bytes")), "node")
+    blocks = _blocks(used, both, BLOCK_NODES, "near-blocks")
+    a, b = (blocks.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in "ab")
+    met = [F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")]
+    placed = written(pairs.join(a, "a").join(b, "b").select(*met, "a", "b"), "near-pairs")
+    needed = placed.select("x", "y", F.col("a").alias("node")).union(placed.select("x", "y", F.col("b").alias("node"))).distinct()
+    sets = texts.join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # Identifiers of 64 bits don't survive gaps in a pandas column, so a set's row names its node twice.
+    rows = needed.join(sets, "node").select("x", "y", F.col("node").alias("a"), F.col("node").alias("b"), "packed")
+    rows = rows.union(placed.select("x", "y", "a", "b", F.lit(None).cast("binary")))
+    dealt = rows.repartition(partitions(texts.sparkSession), "x", "y").sortWithinPartitions("x", "y")
+    return written(dealt.mapInPandas(_similar, "a long, b long"), "near-links")
+
+
+def _open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of block pairs (the parities and roots of their nodes) → pairs of nodes with different
+    roots that sizes and parities don't rule out."""
+    for frame in grouped(batches, ["x", "y"]):
+        frame = frame.drop_duplicates(["block", "node"]).sort_values(["block", "n"], ignore_index=True)
+        sides = [frame.index[frame["block"] == k] for k in frame["block"].unique()]
+        one, two = sides[0], sides[-1]
+        node, root, n = (frame[c].to_numpy(np.int64) for c in ("node", "root", "n"))
+        odd = frame["odd"].tolist()
+        small = np.stack([_folds(x, PARITIES) for x in odd])
+        low, high = np.searchsorted(n[two], -(-4 * n[one] // 5), "left"), np.searchsorted(n[two], 5 * n[one] // 4, "right")
+        found = [np.empty((0, 2), np.int64)]
+        for i, a, b in zip(one.tolist(), low.tolist(), high.tolist()):
+            j = two[a:b].to_numpy()
+            j = j[(root[j] != root[i]) & ((node[j] > node[i]) | (len(sides) > 1))]
+            j = j[9 * np.bitwise_count(small[j] ^ small[i]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]]
+            found.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
+        a, b = np.concatenate(found).T
+        yield pd.DataFrame({"a": a, "b": b})
+
+
+def _across(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """mixed(h, node, root), rows of shingles that several roots share → candidate pairs (a, b) of
+    different roots. Blocks of nodes meet if they share a shingle; a block travels as parities, once per pair of blocks."""
+    roots = mixed.select("node", "root").distinct()
+    rows = roots.join(nodes, "node")
+    near = mixed.join(mixed.groupBy("h").agg(F.min("root").alias("label")), "h").select("node", "label")
+    blocks = _blocks(rows.select("node", F.octet_length("odd").alias("bytes")), near, BLOCK_NODES, "near-parity-blocks")
+    touched = written(mixed.join(blocks, "node").select("h", "block").distinct(), "near-touched")
+    other = touched.select("h", F.col("block").alias("other"))
+    met = touched.join(other, "h").where("block <= other").select(F.col("block").alias("x"), F.col("other").alias("y")).distinct()
+    met = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    sent = met.join(rows.join(blocks, "node"), "block").select("x", "y", "block", "node", "root", "n", "odd")
+    dealt = sent.repartition(partitions(mixed.sparkSession), "x", "y").sortWithinPartitions("x", "y")
+    return dealt.mapInPandas(_open_pairs, "a long, b long")
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in several texts of a sample, sorted, and their counts."""
-    every = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(seeded_rank(F.col("text"), 31), F.lit(every)) == 0)
+    every = max(1, sets.count() // SAMPLE)
+    sample = sets.where(F.pmod(seeded_rank(F.col("node"), 31), F.lit(every)) == 0).select("packed")
     counted = sample.mapInPandas(_shingles, "h long").groupBy("h").count().where("count > 1")
     top = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
@@ -196,12 +285,12 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Defined results: null, empty and wordless texts are equal; a text of fewer words than a shingle
     is one shingle; rows with a null identifier take part.
     """
-    texts = df.select(F.col(text_col).alias("text"))
     named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    ids = written(named.mapInPandas(_nodes, f"doc_id {kind}, node long, fp long, n long, odd binary"), "near-nodes")
+    ids = written(named.mapInPandas(_nodes, f"doc_id {kind}, {_NODE}"), "near-nodes")
     nodes = ids.select("node", "fp").distinct()
     parities = ids.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
+    texts = ids.select("node", "packed")
 
     least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     least = written(least, "near-fingerprints")
@@ -211,15 +300,14 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     prefixes = texts.mapInPandas(_prefixes(*_frequent(texts)), "h long, node long, n int, pos int")
     dealt = prefixes.repartition(partitions(df.sparkSession), "h").sortWithinPartitions("h", "node")
-    shared = written(dealt.mapInPandas(_shared, "h long, node long, n int, pos int, first long"), "near-shared")
+    shared = written(dealt.mapInPandas(_shared, "h long, node long, n int, pos int, first long").select("h", "node", "first"), "near-shared")
     stars = shared.select(F.col("node").alias("a"), F.col("first").alias("b"))
     found = _confirmed(texts, parities, alike.union(links).union(stars))
 
     rooted = shared.drop("first").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     left = written(rooted.join(mixed.select("h"), "h", "left_semi"), "near-mixed")
-    across = left.alias("a").join(left.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {_SIZES} and {_PLACES}"))
-    found = found.union(_confirmed(texts, parities, across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))))
+    found = found.union(_confirmed(texts, parities, _across(left, parities)))
 
     roots = components(found)
     held = ids.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
