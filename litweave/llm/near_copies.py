@@ -32,6 +32,8 @@ SAMPLE, FREQUENT = 2_000, 50_000
 PARITIES = 1024
 #: Bytes of the sets (or parities) of one block, and nodes of a block of parities.
 BLOCK_BYTES, BLOCK_NODES = 1 << 23, 2048
+#: Slots that mark nodes whose sets are needed, at most; whatever else they let through is joined away.
+MOST_SLOTS = 1 << 27
 #: Texts whose sets are made together.
 TOGETHER = 256
 
@@ -204,22 +206,51 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs[np.array(good, bool)]
 
 
+def _marked(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit map over slots of the nodes, 16 MB at most, that lets few other sets through; built by the tasks."""
+    slots = min(MOST_SLOTS, 1 << max(20, (16 * nodes.count()).bit_length()))
+    slot = F.pmod("node", F.lit(slots)) + 1
+    maps = nodes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(slots // 8, np.uint8)
+    for k, bits in maps.collect():
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    return out, slots
+
+
+def _of_marked(bits: np.ndarray, slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The sets whose node's slot is marked; copies in a task are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            node = batch["node"].to_numpy()
+            slot = node % slots
+            part = batch[(bits[slot >> 3] >> (slot & 7) & 1).astype(bool)].drop_duplicates("node")
+            part = part[~part["node"].isin(seen)]
+            seen.update(part["node"].tolist())
+            yield part
+
+    return run
+
+
 def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs(a, b) those that are similar; texts(node, packed), nodes(node, n, odd)."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(pairs.distinct(), "near-pairs")
+    known = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "near-known")
     for c in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
+        pairs = pairs.join(known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
     pairs = written(pairs.mapInPandas(_possible, "a long, b long"), "near-candidates")
     if pairs.isEmpty():
         return pairs
-    both = pairs.select(F.col("a").alias("node"), F.col("a").alias("label")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("label")))
-    used = both.select("node").distinct().join(nodes.select("node", (F.col("n") * WIDTH).alias("bytes")), "node")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("label"))
+    used = both.select("node").distinct().join(known.select("node", (F.col("n") * WIDTH).alias("bytes")), "node")
     blocks = _blocks(used, both, BLOCK_NODES, "near-blocks")
     a, b = (blocks.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in "ab")
     met = [F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")]
-    placed = written(pairs.join(a, "a").join(b, "b").select(*met, "a", "b"), "near-pairs")
-    needed = placed.select("x", "y", F.col("a").alias("node")).union(placed.select("x", "y", F.col("b").alias("node"))).distinct()
-    sets = texts.join(used.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    placed = written(pairs.join(a, "a").join(b, "b").select(*met, "a", "b"), "near-met")
+    needed = placed.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = texts.mapInPandas(_of_marked(*_marked(blocks)), "node long, packed binary")
     # Identifiers of 64 bits don't survive gaps in a pandas column, so a set's row names its node twice.
     rows = needed.join(sets, "node").select("x", "y", F.col("node").alias("a"), F.col("node").alias("b"), "packed")
     rows = rows.union(placed.select("x", "y", "a", "b", F.lit(None).cast("binary")))
@@ -289,7 +320,7 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = df.schema[id_col].dataType.simpleString()
     ids = written(named.mapInPandas(_nodes, f"doc_id {kind}, {_NODE}"), "near-nodes")
     nodes = ids.select("node", "fp").distinct()
-    parities = ids.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
+    parities = ids.select("node", "n", "odd").dropDuplicates(["node"])
     texts = ids.select("node", "packed")
 
     least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
