@@ -32,11 +32,16 @@ SAMPLE, FREQUENT = 2_000, 50_000
 PARITIES = 1024
 #: Bytes of the sets (or parities) of one block, and nodes of a block of parities.
 BLOCK_BYTES, BLOCK_NODES = 1 << 23, 2048
+#: Nodes of a shingle whose pairs are listed; those of commoner shingles are compared in blocks.
+COMMON = 256
 #: Slots that mark nodes whose sets are needed, at most; whatever else they let through is joined away.
 MOST_SLOTS = 1 << 27
 #: Texts whose sets are made together.
 TOGETHER = 256
 
+#: Similar sets: 9 · overlap >= 4 · (both sizes), which is overlap / union >= 0.8.
+_SIZES = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
+_PLACES = "9 * (least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos)) >= 4 * (a.n + b.n)"
 _MASK = np.uint64((1 << 8 * WIDTH) - 1)
 
 
@@ -170,28 +175,23 @@ def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(good, bool), ["a", "b"]]
 
 
-def _cut_blocks(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _cut_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Nodes in order, with their bytes → their block: neighbours of bounded number and bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, count, held = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            out = np.empty(len(batch), np.int64)
-            for i, size in enumerate(batch["bytes"].tolist()):
-                if count and (count >= most or held + size > BLOCK_BYTES):
-                    block, count, held = block + 1, 0, 0
-                out[i], count, held = block, count + 1, held + size
-            yield pd.DataFrame({"node": batch["node"], "block": out})
-
-    return run
+    block, count, held = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        out = np.empty(len(batch), np.int64)
+        for i, size in enumerate(batch["bytes"].tolist()):
+            if count and (count >= BLOCK_NODES or held + size > BLOCK_BYTES):
+                block, count, held = block + 1, 0, 0
+            out[i], count, held = block, count + 1, held + size
+        yield pd.DataFrame({"node": batch["node"], "block": out})
 
 
-def _blocks(nodes: DataFrame, near: DataFrame, most: int, name: str) -> DataFrame:
-    """nodes(node, bytes) → (node, block). Nodes that near(node, label) gives the same smallest label come
-    together; which ones do decides what moves, never what is found."""
-    labels = near.groupBy("node").agg(F.min("label").alias("label"))
-    sorted_nodes = nodes.join(labels, "node", "left").repartitionByRange(partitions(nodes.sparkSession), "label", "node").sortWithinPartitions("label", "node")
-    return written(sorted_nodes.select("node", "bytes").mapInPandas(_cut_blocks(most), "node long, block long"), name)
+def _blocks(nodes: DataFrame, name: str) -> DataFrame:
+    """nodes(node, bytes, label) → (node, block), neighbours by label together. Which ones do decides what
+    moves, never what is found."""
+    dealt = nodes.repartitionByRange(partitions(nodes.sparkSession), "label", "node").sortWithinPartitions("label", "node")
+    return written(dealt.select("node", "bytes").mapInPandas(_cut_blocks, "node long, block long"), name)
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,8 +244,8 @@ def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     if pairs.isEmpty():
         return pairs
     both = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("label"))
-    used = both.select("node").distinct().join(known.select("node", (F.col("n") * WIDTH).alias("bytes")), "node")
-    blocks = _blocks(used, both, BLOCK_NODES, "near-blocks")
+    used = both.groupBy("node").agg(F.min("label").alias("label")).join(known.select("node", (F.col("n") * WIDTH).alias("bytes")), "node")
+    blocks = _blocks(used, "near-blocks")
     a, b = (blocks.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in "ab")
     met = [F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")]
     placed = written(pairs.join(a, "a").join(b, "b").select(*met, "a", "b"), "near-met")
@@ -263,32 +263,53 @@ def _open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     roots that sizes and parities don't rule out."""
     for frame in grouped(batches, ["x", "y"]):
         frame = frame.drop_duplicates(["block", "node"]).sort_values(["block", "n"], ignore_index=True)
-        sides = [frame.index[frame["block"] == k] for k in frame["block"].unique()]
+        sides = [np.flatnonzero(frame["block"] == k) for k in frame["block"].unique()]
         one, two = sides[0], sides[-1]
         node, root, n = (frame[c].to_numpy(np.int64) for c in ("node", "root", "n"))
         odd = frame["odd"].tolist()
-        small = np.stack([_folds(x, PARITIES) for x in odd])
+        slots = np.fromiter((8 * len(x) for x in odd), np.int64, len(odd))
+        # Parities of each number of slots, of the nodes that have as many or more; sizes that fit are at most one doubling apart.
+        folds, row = {}, {}
+        for k in np.unique(slots).tolist():
+            own = np.flatnonzero((slots == k) | (slots == 2 * k))
+            folds[k] = np.stack([_folds(odd[i], k) for i in own])
+            row[k] = np.full(len(odd), -1)
+            row[k][own] = np.arange(len(own))
         low, high = np.searchsorted(n[two], -(-4 * n[one] // 5), "left"), np.searchsorted(n[two], 5 * n[one] // 4, "right")
         found = [np.empty((0, 2), np.int64)]
         for i, a, b in zip(one.tolist(), low.tolist(), high.tolist()):
-            j = two[a:b].to_numpy()
-            j = j[(root[j] != root[i]) & ((node[j] > node[i]) | (len(sides) > 1))]
-            j = j[9 * np.bitwise_count(small[j] ^ small[i]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]]
-            found.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
+            others = two[a:b]
+            others = others[(root[others] != root[i]) & ((node[others] > node[i]) | (len(sides) > 1))]
+            for k in np.unique(np.minimum(slots[others], slots[i])).tolist():
+                j = others[np.minimum(slots[others], slots[i]) == k]
+                differ = np.bitwise_count(folds[k][row[k][j]] ^ folds[k][row[k][i]]).sum(axis=1, dtype=np.int64)
+                j = j[9 * differ <= n[i] + n[j]]
+                found.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
         a, b = np.concatenate(found).T
         yield pd.DataFrame({"a": a, "b": b})
 
 
 def _across(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """mixed(h, node, root), rows of shingles that several roots share → candidate pairs (a, b) of
-    different roots. Blocks of nodes meet if they share a shingle; a block travels as parities, once per pair of blocks."""
-    roots = mixed.select("node", "root").distinct()
-    rows = roots.join(nodes, "node")
-    near = mixed.join(mixed.groupBy("h").agg(F.min("root").alias("label")), "h").select("node", "label")
-    blocks = _blocks(rows.select("node", F.octet_length("odd").alias("bytes")), near, BLOCK_NODES, "near-parity-blocks")
-    touched = written(mixed.join(blocks, "node").select("h", "block").distinct(), "near-touched")
-    other = touched.select("h", F.col("block").alias("other"))
-    met = touched.join(other, "h").where("block <= other").select(F.col("block").alias("x"), F.col("other").alias("y")).distinct()
+    """mixed(h, node, root, n, pos), rows of shingles that several roots share → candidate pairs (a, b) of
+    different roots. A shingle of few nodes lists the pairs that sizes and places allow; its rows are bounded."""
+    counted = mixed.groupBy("h").agg(F.count("*").alias("rows"))
+    cold = mixed.join(counted.where(F.col("rows") <= COMMON), "h")
+    listed = cold.alias("a").join(cold.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {_SIZES} and {_PLACES}"))
+    listed = listed.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return listed.union(_across_blocks(mixed.join(counted.where(F.col("rows") > COMMON), "h").select("h", "node", "root"), nodes))
+
+
+def _across_blocks(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for common shingles, without listing their pairs. Nodes are put in blocks by size; two blocks
+    meet if they share a shingle and their sizes can be similar. A block travels as parities, once per pair of blocks."""
+    mixed = written(mixed, "near-common")
+    rows = written(mixed.select("node", "root").distinct().join(nodes, "node"), "near-open")
+    blocks = _blocks(rows.select("node", F.octet_length("odd").alias("bytes"), F.col("n").alias("label")), "near-parity-blocks")
+    sizes = rows.select("node", "n").join(blocks, "node").groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    touched = written(mixed.join(blocks, "node").select("h", "block").distinct().join(sizes, "block"), "near-touched")
+    one, two = (touched.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "xy")
+    met = one.join(two, "h").where("block_x <= block_y and 5 * high_x >= 4 * low_y and 5 * high_y >= 4 * low_x")
+    met = met.select(F.col("block_x").alias("x"), F.col("block_y").alias("y")).distinct()
     met = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     sent = met.join(rows.join(blocks, "node"), "block").select("x", "y", "block", "node", "root", "n", "odd")
     dealt = sent.repartition(partitions(mixed.sparkSession), "x", "y").sortWithinPartitions("x", "y")
@@ -331,7 +352,7 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     prefixes = texts.mapInPandas(_prefixes(*_frequent(texts)), "h long, node long, n int, pos int")
     dealt = prefixes.repartition(partitions(df.sparkSession), "h").sortWithinPartitions("h", "node")
-    shared = written(dealt.mapInPandas(_shared, "h long, node long, n int, pos int, first long").select("h", "node", "first"), "near-shared")
+    shared = written(dealt.mapInPandas(_shared, "h long, node long, n int, pos int, first long"), "near-shared")
     stars = shared.select(F.col("node").alias("a"), F.col("first").alias("b"))
     found = _confirmed(texts, parities, alike.union(links).union(stars))
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from litweave.llm import near_copies
 
@@ -46,10 +47,12 @@ def test_one_word_of_sixty_replaced_is_a_near_copy(spark):
     assert near_copies.drop_near_copies(documents(spark, [])).count() == 0
 
 
-def test_a_large_group_just_around_the_bound(spark, monkeypatch):
+@pytest.mark.parametrize("common", [3, 256])
+def test_a_large_group_just_around_the_bound(spark, monkeypatch, common):
     """Most pairs of a large family are just below the bound, some above; sets meet in many blocks."""
     monkeypatch.setattr(near_copies, "BLOCK_NODES", 24)
     monkeypatch.setattr(near_copies, "BLOCK_BYTES", 9000)
+    monkeypatch.setattr(near_copies, "COMMON", common)
     rng = random.Random(6)
     base = " ".join(f"w{rng.randrange(3000)}" for _ in range(120))
     other = " ".join(f"v{rng.randrange(3000)}" for _ in range(100))
