@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import driver_sql as sql  # noqa: E402
 import litweave  # noqa: E402
 import driver_tables as inputs  # noqa: E402
-from litweave import fixed  # noqa: E402
+from litweave import fixed, schema  # noqa: E402
 from litweave.functions import json_text, text  # noqa: E402
 from litweave.operators import (  # noqa: E402
     bm25 as keyword, candidates, cards as card_ops, fusion, gaps, graph as graph_ops, keyword_index, quality,
@@ -25,7 +25,7 @@ from litweave.operators import (  # noqa: E402
 from litweave.plans import ingest  # noqa: E402
 from litweave.plans.topic_map import map_topics  # noqa: E402
 from litweave.session import new_folder  # noqa: E402
-from litweave.sources import exports, papers as paper_source, state, store  # noqa: E402
+from litweave.sources import exports, papers as paper_source, state, state_log, store  # noqa: E402
 from litweave.streaming.incremental import ingest_stream  # noqa: E402
 
 # Python functions travel to the workers by value, so these need no copy of the package and the
@@ -794,6 +794,50 @@ def card_cache(spark: SparkSession, sf: str) -> DataFrame:
     return state.recall_cards(wanted, memory)
 
 
+@query(
+    "saved_tasks",
+    """SELECT DISTINCT 't' || (doc_id // 8) AS task_id, 'Topic ' || (doc_id // 8) AS topic,
+      CASE WHEN (doc_id // 8) % 2 = 0 THEN 'done' WHEN (doc_id // 8) % 3 = 0 THEN 'failed' ELSE 'planning' END AS status,
+      true AS stamped FROM documents""",
+)
+def saved_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Boards saved, folded into a snapshot, saved again before and after a second one, and read back."""
+    order = ["updated_at", "blackboard"]
+    log = state_log.StateLog(spark, new_folder(spark, "tasks"), schema.TASKS, ["task_id"], order)
+    number = F.substring("task_id", 2, 20).cast("long")
+    boards = inputs.tasks(spark, sf).withColumn("status", F.lit("planning"))
+    for rows, fold in (
+        (boards, True),
+        (boards.where(number % 3 == 0).withColumn("status", F.lit("failed")), True),
+        (boards.where(number % 2 == 0).withColumn("status", F.lit("done")), False),
+    ):
+        log.append(state.board_json(rows).withColumn("updated_at", F.current_timestamp()))
+        if fold:
+            log.compact()
+    newest = log.read()
+    stamped = newest.select("task_id", F.col("updated_at").isNotNull().alias("stamped"))
+    return state.read_boards(newest).select("task_id", "topic", "status").join(stamped, "task_id")
+
+
+@query(
+    "remembered_cards",
+    """SELECT paper_id, '{"source":"' || d.source || '","version":' || CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END || '}' AS card_json
+    FROM docs JOIN documents d USING (doc_id) WHERE doc_id % 5 <> 0
+    UNION ALL SELECT paper_id, NULL FROM docs WHERE doc_id % 5 = 0""",
+)
+def remembered_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards remembered for four of five papers, every third again after a compaction; all papers asked for."""
+    memory = state_log.StateLog(spark, new_folder(spark, "cards"), schema.MEMORY_CARDS, ["paper_id"], ["updated_at", "card_json"])
+    doc = F.col("doc_id")
+    documents = inputs.table(spark, sf, "documents").withColumn("paper_id", inputs.paper_id(doc))
+    known = documents.where(doc % 5 != 0)
+    for version, rows in ((1, known), (2, known.where(doc % 3 == 0))):
+        card = F.to_json(F.struct("source", F.lit(version).alias("version")))
+        memory.append(rows.select("paper_id", card.alias("card_json"), F.current_timestamp().alias("updated_at")))
+        memory.compact()
+    return state.recall_cards(documents.select("paper_id"), memory.read())
+
+
 @query(
     "spill_preview",
     """SELECT doc_id, CASE WHEN length(text) > 4000 THEN '[大输出已落盘: spill/' || doc_id || '.txt]' ||
