@@ -26,6 +26,7 @@ from litweave.plans import ingest  # noqa: E402
 from litweave.plans.topic_map import map_topics  # noqa: E402
 from litweave.session import new_folder  # noqa: E402
 from litweave.sources import exports, papers as paper_source, state, state_log, store  # noqa: E402
+from litweave.sources.buckets import BucketStore  # noqa: E402
 from litweave.streaming.incremental import ingest_stream  # noqa: E402
 
 # Python functions travel to the workers by value, so these need no copy of the package and the
@@ -254,6 +255,31 @@ def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return store.all_chunks(spark, path)
 
 
+def _filled_store(spark: SparkSession, sf: str) -> BucketStore:
+    """All chunks in a bucketed store: in batches that overlap, folded, then all of them once more."""
+    chunks = inputs.chunks(spark, sf)
+    kept = BucketStore(spark, new_folder(spark, "bucketed-chunks"), schema.CHUNKS)
+    part = F.pmod(F.xxhash64("paper_id"), F.lit(3))
+    for batch in (part == 0, part <= 1, part >= 1):
+        kept.append(chunks.where(batch))
+    kept.compact()
+    kept.append(chunks)
+    return kept
+
+
+@query("stored_chunks", _CHUNKS)
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _filled_store(spark, sf).read()
+
+
+@query("first_chunks", "SELECT chunk_id, text, year FROM chunk_table WHERE chunk_index = 0")
+def first_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The first chunk of every paper by its key; papers without chunks are not found."""
+    documents = inputs.table(spark, sf, "documents")
+    keys = documents.select(F.concat(inputs.paper_id(F.col("doc_id")), F.lit("_0")).alias("chunk_id"))
+    return _filled_store(spark, sf).look_up(keys).select("chunk_id", "text", "year")
+
+
 def _count_provider(texts: list[str]) -> list[list[float]]:
     return [[len(t) / 1000, t.count("e") / 100, t.count("a") / 100] for t in texts]
 

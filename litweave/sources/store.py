@@ -4,27 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litweave import schema
 from litweave.operators.vectors import embed
-
-
-def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The table at `path`, empty if nothing was written yet."""
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ddl)
+from litweave.session import written
+from litweave.sources.buckets import BucketStore, read_table
 
 
 def all_chunks(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """Chunks with their metadata and no vectors; filters reach the file scan."""
-    chunks = read_table(spark, path, schema.CHUNKS)
+    chunks = BucketStore(spark, path, schema.CHUNKS).read()
     if where is not None:
         chunks = chunks.where(where)
     return chunks.withColumn("text", F.coalesce("text", F.lit("")))
@@ -48,15 +39,8 @@ def count(chunks: DataFrame) -> int:
     return chunks.count()
 
 
-def append_new(rows: DataFrame, path: str, ddl: str) -> None:
-    """Append rows whose chunk_id the table does not hold; a stored row is never replaced.
-
-    Running the same append again adds nothing, so a retried job leaves no duplicates.
-    """
-    stored = read_table(rows.sparkSession, path, ddl).select("chunk_id")
-    fresh = rows.join(stored, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
-    columns = [name.split()[0] for name in ddl.split(", ")]
-    fresh.select(*columns).write.mode("append").parquet(path)
+def all_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return BucketStore(spark, path, schema.VECTORS).read()
 
 
 def add_chunks(
@@ -65,9 +49,14 @@ def add_chunks(
     vector_path: str | None = None,
     provider: Callable[[list[str]], list[list[float]]] | None = None,
 ) -> None:
-    """Store chunks, and with a provider their vectors in a table of their own."""
-    append_new(chunks, path, schema.CHUNKS)
+    """Store chunks, and with a provider their vectors in a table of their own.
+
+    A stored row is never replaced, and running the same append again adds nothing. The batch is computed
+    once; the provider gets only chunks without a stored vector, each once.
+    """
+    spark = chunks.sparkSession
+    batch = written(chunks, "chunks") if vector_path and provider else chunks
+    BucketStore(spark, path, schema.CHUNKS).append(batch)
     if vector_path and provider:
-        stored = read_table(chunks.sparkSession, vector_path, schema.VECTORS).select("chunk_id")
-        todo = chunks.select("chunk_id", "text").join(stored, "chunk_id", "left_anti")
-        append_new(embed(todo, "text", provider), vector_path, schema.VECTORS)
+        vectors = BucketStore(spark, vector_path, schema.VECTORS)
+        vectors.append(batch.select("chunk_id", "text"), lambda fresh: embed(fresh, "text", provider))
