@@ -27,6 +27,7 @@ from litweave.plans.topic_map import map_topics  # noqa: E402
 from litweave.session import new_folder  # noqa: E402
 from litweave.sources import exports, papers as paper_source, state, state_log, store  # noqa: E402
 from litweave.sources.buckets import BucketStore  # noqa: E402
+from litweave.sources.vector_cache import VectorCache  # noqa: E402
 from litweave.streaming.incremental import ingest_stream  # noqa: E402
 
 # Python functions travel to the workers by value, so these need no copy of the package and the
@@ -633,6 +634,15 @@ def quotes_checked(spark: SparkSession, sf: str) -> DataFrame:
     return quality.check_quotes(inputs.cards(spark, sf), inputs.chunks(spark, sf))
 
 
+@query("quotes_checked_hybrid", "SELECT task_id, pos, paper_id, quote_pos, quote, verified FROM checked_hybrid")
+def quotes_checked_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes looked up by both lists; vectors of chunks and quotes come from one cache."""
+    cache = VectorCache(spark, new_folder(spark, "vector-cache"), _count_provider, "letters")
+    chunks, cards = inputs.chunks(spark, sf), inputs.cards(spark, sf)
+    vectors = cache.with_vectors(chunks.select("chunk_id", "text")).select("chunk_id", "embedding")
+    return quality.check_quotes(cards, chunks, vectors, quality.quote_vectors(cards, cache))
+
+
 @query("unverified_quotes", "SELECT task_id, pos, paper_id, quote_pos, quote FROM unverified")
 def unverified_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.unverified_quotes(inputs.checked_quotes(spark, sf))

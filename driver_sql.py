@@ -238,14 +238,14 @@ def bm25(prefix: str, corpus: str, queries: str, scope: str = "") -> str:
     return f"{p}_ranked"
 
 
-def nearest(name: str, corpus: str, queries: str, scope: str = "") -> str:
+def nearest(name: str, corpus: str, queries: str, scope: str = "", vectors: str = "doc_vectors") -> str:
     on = f"c.{scope} = q.{scope}" if scope else "true"
     cte(name, f"""
       SELECT query_id, chunk_id, paper_id, chunk_index, score, row_number() OVER (
         PARTITION BY query_id ORDER BY score DESC, paper_id, chunk_index) - 1 AS rank
       FROM (SELECT q.query_id, c.chunk_id, c.paper_id, c.chunk_index,
           round(1 - list_distance(q.embedding, v.embedding) ** 2, 9) AS score
-        FROM {queries} q JOIN {corpus} c ON {on} JOIN doc_vectors v ON v.chunk_id = c.chunk_id
+        FROM {queries} q JOIN {corpus} c ON {on} JOIN {vectors} v ON v.chunk_id = c.chunk_id
         WHERE q.embedding IS NOT NULL)""")
     return name
 
@@ -497,13 +497,31 @@ cte("quote_rows", """
       generate_subscripts(quotes[1:3], 1) - 1 AS quote_pos FROM cards)
   WHERE length(quote) >= 8""")
 bm25("qk", "chunk_table", "quote_rows", "paper_id")
-cte("checked", """
+
+
+def judged(name: str, best: str) -> None:
+    """Quotes held against the first hit of their search."""
+    cte(name, f"""
   SELECT q.task_id, q.pos, q.paper_id, q.quote_pos, q.quote, coalesce(len(qt) > 0 AND
     CAST(len(list_intersect(qt, st)) AS DOUBLE) / len(qt) >= 0.5, false) AS verified
   FROM (SELECT *, list_distinct(regexp_extract_all(lower(quote), '[a-zA-Z0-9一-鿿]+')) AS qt
     FROM quote_rows) q
   LEFT JOIN (SELECT query_id, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9一-鿿]+')) AS st
-    FROM qk_ranked JOIN chunk_table USING (chunk_id) WHERE rank = 0) s USING (query_id)""")
+    FROM {best} JOIN chunk_table USING (chunk_id) WHERE rank = 0) s USING (query_id)""")
+
+
+def letter_counts(text: str) -> str:
+    """The vector that the queries' provider makes of a text, in single precision."""
+    shares = [f"length({text}) / 1000", *[f"(length({text}) - length(replace({text}, '{c}', ''))) / 100" for c in "ea"]]
+    return f"[{', '.join(f'CAST(CAST({x} AS FLOAT) AS DOUBLE)' for x in shares)}]"
+
+
+judged("checked", "qk_ranked")
+cte("counted_quotes", f"SELECT *, {letter_counts('text')} AS embedding FROM quote_rows")
+cte("counted_chunks", f"SELECT chunk_id, {letter_counts('text')} AS embedding FROM chunk_table")
+nearest("qv", "chunk_table", "counted_quotes", "paper_id", "counted_chunks")
+fused("qh", "qv", "qk_ranked", "3", "1")
+judged("checked_hybrid", "qh")
 cte("unverified", """
   SELECT task_id, pos, paper_id, quote_pos, substr(quote, 1, 50) AS quote
   FROM checked WHERE NOT verified""")

@@ -17,6 +17,7 @@ from litweave.operators.cards import parse_cards
 from litweave.operators.graph import Graph, build_graph
 from litweave.session import written
 from litweave.sources.store import list_papers
+from litweave.sources.vector_cache import VectorCache
 
 
 class TopicMap(NamedTuple):
@@ -37,11 +38,12 @@ def map_topics(
     finals: DataFrame,
     card_texts: DataFrame,
     drafts: DataFrame,
+    cache: VectorCache | None = None,
 ) -> TopicMap:
     """topics(task_id, topic, embedding), finals(task_id, final_text) and
     trace(task_id, seq, type, result_preview) of the retrieval run, card_texts(paper_id,
     final_text[, task_id]) as the reading model wrote them, drafts(task_id, final_text) of the
-    reviews."""
+    reviews. With a `cache`, whose provider made `vectors`, quotes are looked up by both lists."""
     papers = written(list_papers(chunks), "papers")
     asked = topics.select(
         F.col("task_id").alias("query_id"), F.col("topic").alias("text"), "embedding"
@@ -64,9 +66,11 @@ def map_topics(
     reviews = written(review.choose_review(review.review_text(pieces), drafts), "reviews")
 
     missing = quality.missing_cards(candidates, cards)
-    bad = written(
-        quality.unverified_quotes(quality.check_quotes(cards, chunks)), "unverified"
-    )
+    if cache is None:
+        checked = quality.check_quotes(cards, chunks)
+    else:
+        checked = quality.check_quotes(cards, chunks, vectors, quality.quote_vectors(cards, cache))
+    bad = written(quality.unverified_quotes(checked), "unverified")
     issues = quality.issues(topics, missing, bad, graph.nodes, graph.edges)
     verdict_rows = written(quality.verdicts(topics, issues), "verdicts")
     # A failed gate still ends as done; `passed` tells the difference.
