@@ -124,6 +124,38 @@ def span_row_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("line_no", F.col("line_no.line"))
 
 
+def _plain_text(content: bytes) -> dict:
+    lines = content.decode().split("\n")
+    return {"lines": [{"page": i // 20, "spans": [{"text": t, "size": 10.0}]} for i, t in enumerate(lines)]}
+
+
+@query(
+    "file_volumes",
+    f"""SELECT volume, count(*) AS n_lines, count(DISTINCT line_no // 20) AS n_pages,
+      md5(string_agg(x, chr(10) ORDER BY line_no)) AS digest, 0 AS errors FROM (
+        SELECT volume, line_no, {sql.strip("t")} AS x FROM (
+          SELECT volume, unnest(string_split(body, chr(10))) AS t,
+            generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no
+          FROM (SELECT doc_id // 64 AS volume, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS body
+            FROM documents GROUP BY doc_id // 64)))
+    WHERE x <> '' GROUP BY volume""",
+)
+def file_volumes(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as files of 64, then found, decoded and read back as papers."""
+    folder = new_folder(spark, "volumes")
+    documents = inputs.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 64).alias("volume"), "doc_id", "text")
+    rows = documents.repartition("volume").sortWithinPartitions("volume", "doc_id")
+    rows.select("volume", "text").write.partitionBy("volume").text(folder)
+    papers = paper_source.decode_files(paper_source.pdf_files(spark, folder, "*.txt"), _plain_text)
+    return papers.select(
+        F.regexp_extract("source", r"volume=(\d+)", 1).cast("long").alias("volume"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.array_distinct("lines.page")).cast("long").alias("n_pages"),
+        F.md5(paper_source.full_text(F.col("lines")).cast("binary")).alias("digest"),
+        F.col("error").isNotNull().cast("int").alias("errors"),
+    )
+
+
 @query(
     "full_texts",
     """SELECT paper_id, md5(t) AS digest, n FROM (

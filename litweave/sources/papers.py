@@ -7,11 +7,13 @@ one paper can never pull the rows of others into its task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameReader
+from pyspark.sql.streaming import DataStreamReader
 
 from litweave.functions.arrays import let
 from litweave.functions.numbers import round_exact
@@ -19,38 +21,66 @@ from litweave.functions.text import hash_id, strip
 
 DECODED = (
     "source string, creation_date string, "
-    "span_lines array<struct<page:int,spans:array<struct<text:string,size:double>>>>"
+    "span_lines array<struct<page:int,spans:array<struct<text:string,size:double>>>>, error string"
 )
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
+BATCH_BYTES = 16 << 20
+ERROR_CHARS = 300
 
 
-def pdf_files(spark: SparkSession, directory: str) -> DataFrame:
-    """All `*.pdf` below a directory, with their bytes."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.pdf")
-        .load(directory)
-        .select(F.col("path").alias("source"), "content")
-    )
+def pdf_files(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> DataFrame:
+    """All files of a pattern below a directory, with their bytes.
+
+    The scan cuts its partitions by bytes (`spark.sql.files.maxPartitionBytes`); a file is never cut.
+    """
+    return _files(spark.read, directory, pattern)
+
+
+def pdf_stream(spark: SparkSession, directory: str, pattern: str = "*.pdf", **limits) -> DataFrame:
+    """The same as a stream of files as they arrive; `limits` are options such as maxFilesPerTrigger."""
+    return _files(spark.readStream.schema(BINARY_FILES).options(**limits), directory, pattern)
 
 
-def decode_files(files: DataFrame, decode: Callable[[bytes], dict]) -> DataFrame:
-    """Run a user-supplied decoder over file bytes.
+def _files(reader: DataFrameReader | DataStreamReader, directory: str, pattern: str) -> DataFrame:
+    found = reader.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return found.load(directory).select(F.col("path").alias("source"), "content")
+
+
+def _slices(contents: Iterable[bytes], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours of at most `limit` bytes together; a larger one is alone."""
+    start, held, i = 0, 0, -1
+    for i, content in enumerate(contents):
+        size = len(content or b"")
+        if i > start and held + size > limit:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if i >= start:
+        yield start, i + 1
+
+
+def decode_files(files: DataFrame, decode: Callable[[bytes], dict], batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Run a user-supplied decoder over file bytes: papers with their lines, and `error`.
 
     `decode(content)` returns `{"creation_date": str | None, "lines": [{"page": int, "spans":
-    [{"text": str, "size": float}]}]}`.
+    [{"text": str, "size": float}]}]}`. A file on which it fails is a paper without lines whose `error`
+    says why; other files are not affected. Decoded files leave the worker in batches of
+    `batch_bytes` of content. What enters is bounded by Spark's `spark.sql.execution.arrow.maxBytesPerBatch`.
     """
 
+    def one(content: bytes) -> tuple[str | None, list[dict], str | None]:
+        try:
+            found = decode(bytes(content))
+            return found.get("creation_date"), found["lines"], None
+        except Exception as error:  # whatever a damaged file does to the decoder
+            return None, [], f"{type(error).__name__}: {error}"[:ERROR_CHARS]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            decoded = [decode(bytes(content)) for content in batch["content"]]
-            yield pd.DataFrame(
-                {
-                    "source": batch["source"],
-                    "creation_date": [d.get("creation_date") for d in decoded],
-                    "span_lines": [d["lines"] for d in decoded],
-                }
-            )
+            for start, end in _slices(batch["content"], batch_bytes):
+                part = batch.iloc[start:end]
+                dates, lines, errors = zip(*[one(content) for content in part["content"]])
+                yield pd.DataFrame({"source": part["source"].tolist(), "creation_date": dates, "span_lines": lines, "error": errors})
 
     decoded = files.mapInPandas(run, DECODED)
     return decoded.select(
@@ -59,6 +89,7 @@ def decode_files(files: DataFrame, decode: Callable[[bytes], dict]) -> DataFrame
         file_stem(F.col("source")).alias("stem"),
         "creation_date",
         lines_of_spans(F.col("span_lines")).alias("lines"),
+        "error",
     )
 
 
