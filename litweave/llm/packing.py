@@ -10,9 +10,6 @@ from .common import WHITE_SPACE, partitions, written
 
 BUCKETS = 8
 BUDGET = 16384
-#: Lengths up to this are boundaries as they are; longer ones are rounded up to a grid whose steps
-#: are 1/512 of the length at most, which bounds the histogram.
-EXACT = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -21,10 +18,33 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]"), F.size(parts)).otherwise(0).cast("long")
 
 
-def ceiling(length: Column) -> Column:
-    """The boundary that a length can have: itself, or the next point of the grid."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(length.cast("double"))) - 10))
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
+def _layer(before: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every j the least before[i] + lengths[j] × (rows[j + 1] − rows[i]) over i <= j, and the smallest such i.
+
+    The smallest best i never falls as j grows. So the middle j of a range bounds the searches of both halves; the
+    middles of all ranges of one depth are searched together, over about 2 n candidates.
+    """
+    n = len(lengths)
+    best, cut = np.empty(n, before.dtype), np.empty(n, np.int64)
+    first, last, low, high = (np.array([v], np.int64) for v in (0, n - 1, 0, n - 1))
+    while len(first):
+        mid = (first + last) // 2
+        size = np.minimum(high, mid) - low + 1
+        starts = np.cumsum(size) - size
+        i = np.arange(size.sum()) - np.repeat(starts - low, size)
+        j = np.repeat(mid, size)
+        tried = before[i] + lengths[j] * (rows[j + 1] - rows[i])
+        least = np.minimum.reduceat(tried, starts)
+        at = np.minimum.reduceat(np.where(tried == np.repeat(least, size), i, n), starts)
+        best[mid], cut[mid] = least, at
+        left, right = first < mid, mid < last
+        first, last, low, high = (
+            np.concatenate((first[left], mid[right] + 1)),
+            np.concatenate((mid[left] - 1, last[right])),
+            np.concatenate((low[left], at[right])),
+            np.concatenate((at[left], high[right])),
+        )
+    return best, cut
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -33,7 +53,7 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCK
     the end.
 
     Dynamic programming over the histogram: cost[k][j] is the least cost of the first j + 1 lengths
-    in k buckets. The best cut never moves back as j grows, which narrows each search.
+    in k buckets, in O(buckets × n log n).
     """
     n = len(lengths)
     if not n:
@@ -42,15 +62,8 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCK
     cost = lengths * rows[1:]
     cuts = []
     for _ in range(min(buckets, n) - 1):
-        # a bucket (i, j] follows the first i + 1 lengths; i = -1 stands for fewer buckets
-        best, cut, low = np.empty(n, cost.dtype), np.empty(n, np.int64), 0
-        before = np.concatenate(([0], cost))
-        for j in range(n):
-            tried = before[low : j + 1] + lengths[j] * (rows[j + 1] - rows[low : j + 1])
-            at = int(np.argmin(tried))
-            low += at
-            best[j], cut[j] = tried[at], low
-        cost = best
+        # a bucket (i, j] follows the first i lengths; i = 0 stands for fewer buckets
+        cost, cut = _layer(np.concatenate(([0], cost)), lengths, rows)
         cuts.append(cut)
     out, j = [], n
     for cut in reversed(cuts):
@@ -76,8 +89,8 @@ def packed(
     the batch within the bucket and `slot` the place in the batch. Batches take the bucket's rows in
     order of (length, identifier), as many as keep rows × bound within `budget`, one at least.
 
-    Boundaries come from the histogram of all rows: one row per distinct rounded length (see
-    `EXACT`), which is all the driver gets. Rows are dealt out by ranges of (length, identifier), so
+    Boundaries come from the histogram of all rows, which is all the driver gets: one row per distinct length.
+    n different lengths take n² / 2 words at least, so 100 TB of text have under 6 million. Rows are dealt out by ranges of (length, identifier), so
     a length that a third of the rows share is spread too; their place follows from the counts of
     the ranges before, so no bucket is ever in one task.
 
@@ -91,7 +104,7 @@ def packed(
     placed = ranged.sortWithinPartitions("n_tokens", F.col("doc_id").asc_nulls_first())
     # Written once: the numbers below hold for this order of rows.
     placed = written(placed.withColumn("place", F.monotonically_increasing_id()), "lengths")
-    histogram = placed.groupBy(ceiling(F.col("n_tokens")).alias("bound")).agg(F.count("*").alias("n")).orderBy("bound").toPandas()
+    histogram = placed.groupBy(F.col("n_tokens").alias("bound")).agg(F.count("*").alias("n")).orderBy("bound").toPandas()
     bounds = best_boundaries(histogram["bound"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets)
     sizes = [int(histogram["n"][histogram["bound"] <= b].sum()) for b in bounds]
 

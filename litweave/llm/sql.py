@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-from .packing import BUCKETS, BUDGET, EXACT
+from .packing import BUCKETS, BUDGET
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
 def _packing() -> str:
-    """Layered dynamic programming: dp1 … dpK over the histogram of rounded lengths."""
-    rounded = f"CASE WHEN n <= {EXACT} THEN n ELSE CAST(ceil(n / step) * step AS BIGINT) END"
-    layers = ["dp1 AS (SELECT j, [bound] AS cuts, bound * upto AS cost FROM hist)"]
+    """Layered dynamic programming, dp1 … dpK over the histogram of lengths, and the way back, at K … at1."""
+    layers = ["dp1 AS MATERIALIZED (SELECT j, {'cost': bound * upto, 'i': 0} AS m FROM hist)"]
     for k in range(2, BUCKETS + 1):
         layers.append(
-            f"dp{k} AS (SELECT j, m.cuts AS cuts, m.cost AS cost FROM ("
-            f"SELECT h.j, min({{'cost': cost, 'i': i, 'cuts': cuts}}) AS m FROM hist h JOIN ("
-            f"SELECT h2.j, p.i, p.cost + h2.bound * (h2.upto - p.upto) AS cost, list_append(p.cuts, h2.bound) AS cuts "
-            f"FROM hist h2 JOIN (SELECT d.j AS i, d.cost, d.cuts, h3.upto FROM dp{k - 1} d JOIN hist h3 ON h3.j = d.j "
-            f"UNION ALL SELECT 0, 0, [], 0) p ON p.i < h2.j) c ON c.j = h.j GROUP BY h.j))"
+            f"dp{k} AS MATERIALIZED (SELECT h.j, min({{'cost': p.cost + h.bound * (h.upto - p.upto), 'i': p.i}}) AS m "
+            f"FROM hist h JOIN (SELECT d.j AS i, d.m.cost AS cost, g.upto FROM dp{k - 1} d JOIN hist g ON g.j = d.j "
+            f"UNION ALL SELECT 0, 0, 0) p ON p.i < h.j GROUP BY h.j)"
         )
+    back = [f"at{BUCKETS} AS (SELECT j, m.i AS i FROM dp{BUCKETS} WHERE j = (SELECT max(j) FROM hist))"]
+    for k in range(BUCKETS - 1, 0, -1):
+        back.append(f"at{k} AS (SELECT j, m.i AS i FROM dp{k} WHERE j = (SELECT i FROM at{k + 1}))")
+    ends = " UNION ".join(f"SELECT j FROM at{k}" for k in range(1, BUCKETS + 1))
     return f"""
 WITH words AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n FROM documents),
-rounded AS (SELECT doc_id, n, {rounded} AS bound FROM (
-  SELECT *, 2 ** greatest(0, ceil(log2(greatest(n, 1))) - 10) AS step FROM words)),
-hist AS (SELECT bound, c, row_number() OVER (ORDER BY bound) AS j, CAST(sum(c) OVER (ORDER BY bound) AS BIGINT) AS upto
-  FROM (SELECT bound, count(*) AS c FROM rounded GROUP BY bound)),
+hist AS MATERIALIZED (SELECT bound, c, row_number() OVER (ORDER BY bound) AS j, CAST(sum(c) OVER (ORDER BY bound) AS BIGINT) AS upto
+  FROM (SELECT n AS bound, count(*) AS c FROM words GROUP BY n)),
 {", ".join(layers)},
-chosen AS (SELECT unnest(cuts) AS bound FROM dp{BUCKETS} WHERE j = (SELECT max(j) FROM hist)),
-numbered AS (SELECT bound, CAST(row_number() OVER (ORDER BY bound) - 1 AS INTEGER) AS bucket FROM chosen),
-owned AS (SELECT doc_id, n, (SELECT min(bound) FROM numbered b WHERE b.bound >= rounded.n) AS bound FROM rounded),
+{", ".join(back)},
+numbered AS (SELECT bound, CAST(row_number() OVER (ORDER BY bound) - 1 AS INTEGER) AS bucket FROM hist WHERE j IN ({ends})),
+owned AS (SELECT doc_id, n, (SELECT min(bound) FROM numbered b WHERE b.bound >= words.n) AS bound FROM words),
 placed AS (SELECT o.doc_id, n, bucket, b.bound, row_number() OVER (PARTITION BY bucket ORDER BY n, doc_id) - 1 AS nth,
   greatest(1, {BUDGET} // greatest(b.bound, 1)) AS fit FROM owned o JOIN numbered b ON b.bound = o.bound)
 SELECT doc_id, n AS n_tokens, bucket, bound, nth // fit AS batch, nth % fit AS slot FROM placed"""

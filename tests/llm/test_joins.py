@@ -179,14 +179,38 @@ def test_batches_hold_the_budget_and_every_row(spark):
     assert packing.packed(df.limit(0), F.col("tokens")).collect() == []
 
 
-def test_lengths_are_rounded_up_on_a_bounded_grid(spark):
-    n = [0, 1, 1024, 1025, 1026, 2048, 2049, 5000, 123_457, 10**9 + 1]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(packing.ceiling(F.col("n"))).collect()]
-    assert got[:3] == n[:3]
-    for x, c in zip(n[3:], got[3:]):
-        assert x <= c <= x * (1 + 1 / 512) + 1
-    many = spark.range(1, 3_000_000, 7).select(packing.ceiling(F.col("id")).alias("c")).distinct().count()
-    assert many < 1024 + 12 * 512 + 1
+def plain_boundaries(lengths, counts, k):
+    """The dynamic programme as a double loop; ties take the smallest cut."""
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    layers = [[(int(lengths[j] * upto[j + 1]), 0) for j in range(len(lengths))]]
+    for _ in range(k - 1):
+        before = [0, *[c for c, _ in layers[-1]]]
+        layers.append([
+            min((before[i] + int(lengths[j] * (upto[j + 1] - upto[i])), i) for i in range(j + 1)) for j in range(len(lengths))
+        ])
+    out, j = [], len(lengths)
+    for layer in reversed(layers):
+        if j:
+            out.append(int(lengths[j - 1]))
+            j = layer[j - 1][1]
+    return sorted(out)
+
+
+def test_long_lengths_are_boundaries_as_they_are(spark):
+    rng = np.random.default_rng(3)
+    for top in (40, 3_000, 200_000):
+        lengths = np.unique(rng.integers(0, top, 150))
+        counts = rng.integers(1, 4, len(lengths)) * np.where(rng.random(len(lengths)) < 0.02, 500, 1)
+        assert packing.best_boundaries(lengths, counts) == plain_boundaries(lengths, counts, packing.BUCKETS)
+    rows = [(i, int(n)) for i, n in enumerate(lengths)]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, tokens long"), F.col("tokens")).collect()
+    assert sorted({r["bound"] for r in out}) == plain_boundaries(lengths, np.ones(len(lengths), int), packing.BUCKETS)
+
+
+def test_many_lengths_stay_cheap():
+    lengths = np.arange(1, 300_001)
+    got = packing.best_boundaries(lengths, np.ones(300_000, int))
+    assert got == [round(300_000 * (k + 1) / 8) for k in range(8)]
 
 
 def test_words_are_counted_as_defined(spark):
