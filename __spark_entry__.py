@@ -746,6 +746,28 @@ def review_choice(spark: SparkSession, sf: str) -> DataFrame:
     return review.choose_review(_reviews(spark, sf), inputs.drafts(spark, sf))
 
 
+@query("review_choice_stored", "SELECT task_id, review, supplied FROM chosen_stored")
+def review_choice_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks whose first draft lies in a file already: the longer of that and the last one counts."""
+    tasks = inputs.tasks(spark, sf)
+    folder = new_folder(spark, "stored-reviews")
+    named = inputs.first_drafts(spark, sf).select("task_id", F.col("task_id").alias("title"), F.col("stored_text").alias("content"))
+    exports.export_md(named, folder)
+    files = spark.read.text(folder, wholetext=True).select("slug", F.col("value").alias("stored_text"))
+    existing = tasks.select("task_id", text.file_slug(F.col("task_id")).alias("slug")).join(files, "slug").drop("slug")
+    return review.choose_review(_reviews(spark, sf), inputs.drafts(spark, sf), existing)
+
+
+@query(
+    "printed_lines",
+    f"""SELECT doc_id, {sql.printed("string_split(text, chr(10) || chr(10))")} AS printed FROM documents WHERE text IS NOT NULL""",
+)
+def printed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The paragraphs of every document as the gate prints lists of quotes."""
+    paragraphs = inputs.table(spark, sf, "documents").where("text IS NOT NULL")
+    return paragraphs.select("doc_id", quality.quoted_list(F.split("text", "\n\n")).alias("printed"))
+
+
 @query(
     "exported_reviews",
     "SELECT 'review_topic_' || substr(task_id, 2) AS slug, md5(review) AS digest FROM chosen",

@@ -579,9 +579,30 @@ cte("drafts", """
   SELECT 't' || (doc_id // 8) AS task_id,
     arg_max(CASE WHEN doc_id % 3 = 0 THEN text || ' TODO' ELSE text END, doc_id) AS final_text
   FROM documents GROUP BY doc_id // 8""")
-cte("chosen", f"""
+def chosen(name: str, best: str, stored: str) -> None:
+    cte(name, f"""
   SELECT r.task_id, CASE WHEN ok THEN best ELSE review END AS review, ok AS supplied FROM (
     SELECT task_id, review, best, length(best) >= 300 AND NOT regexp_matches(lower(best),
       '待撰写|待补充|todo|占位|placeholder|待完成') AS ok
-    FROM (SELECT r.task_id, r.review, {strip("coalesce(final_text, '')")} AS best
-      FROM reviews r LEFT JOIN drafts USING (task_id))) r""")
+    FROM (SELECT r.task_id, r.review, {best} AS best
+      FROM reviews r LEFT JOIN drafts USING (task_id) {stored})) r""")
+
+
+LAST = strip("coalesce(final_text, '')")
+FIRST = strip("coalesce(stored_text, '')")
+chosen("chosen", LAST, "")
+cte("first_drafts", "SELECT 't' || (doc_id // 8) AS task_id, arg_min(coalesce(text, ''), doc_id) AS stored_text FROM documents GROUP BY doc_id // 8")
+chosen("chosen_stored", f"CASE WHEN length({FIRST}) > length({LAST}) THEN {FIRST} ELSE {LAST} END", "LEFT JOIN first_drafts USING (task_id)")
+
+
+def printed(items: str) -> str:
+    """A list of strings as the issue sentence prints it."""
+    char = """CASE WHEN c = chr(92) THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t'
+      WHEN c <> ' ' AND regexp_matches(c, '[\\p{C}\\p{Z}]') THEN CASE WHEN unicode(c) < 256 THEN format('\\x{:02x}', unicode(c))
+        WHEN unicode(c) < 65536 THEN format('\\u{:04x}', unicode(c)) ELSE format('\\U{:08x}', unicode(c)) END
+      WHEN c = chr(39) AND q = chr(39) THEN '\\' || chr(39) ELSE c END"""
+    quote = "CASE WHEN contains(s, chr(39)) AND NOT contains(s, chr(34)) THEN chr(34) ELSE chr(39) END"
+    one = f"""list_transform([{quote}], lambda q:
+      q || array_to_string(list_transform(regexp_extract_all(s, '(?s).'), lambda c: {char}), '') || q)[1]"""
+    return f"'[' || array_to_string(list_transform({items}, lambda s: {one}), ', ') || ']'"
+

@@ -343,6 +343,12 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_by.groupBy("task_id").agg(F.max_by("final_text", "doc_id").alias("final_text"))
 
 
+def first_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review text that each task stored first."""
+    task = F.concat(F.lit("t"), F.floor(F.col("doc_id") / 8).cast("string"))
+    return table(spark, sf_dir, "documents").groupBy(task.alias("task_id")).agg(F.min_by(F.coalesce("text", F.lit("")), "doc_id").alias("stored_text"))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of all tasks, each of its tables written once per session and data folder."""
     built = build_graph(cards(spark, sf_dir))

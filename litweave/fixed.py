@@ -115,3 +115,5 @@ MESSAGES = {
 
 def messages(language: str = "zh") -> dict:
     return MESSAGES[language]
+# Characters that a printed list spells as codes: all without a glyph of their own but the space.
+UNSEEN_CHARS = r"[\p{C}\p{Z}&&[^ ]]"

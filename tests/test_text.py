@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from litweave.functions import json_text, text
 from litweave.functions.numbers import round_exact
+from litweave.operators import quality
 
 
 def values(spark, rows, expr, ddl="x string"):
@@ -148,3 +149,11 @@ def test_evidence_forms(spark):
 def test_review_validity(spark):
     rows = ["x" * 300, "x" * 299, "x" * 300 + "TODO", "x" * 300 + "待补充"]
     assert values(spark, rows, text.looks_like_review(F.col("x"))) == [True, False, False, False]
+
+
+def test_lists_are_printed_as_the_sentence_has_them(spark):
+    items = ["plain", "it's", 'say "hi"', "both ' and \"", "back\\slash", "a\nb\r\tc", "\x00\x1f\x7f\x85\xa0\xad", " ​﻿　", "\U000e0001\U0001f600é中", ""]
+    got = spark.createDataFrame([(items, [])], "a array<string>, b array<string>").select(
+        quality.quoted_list(F.col("a")).alias("a"), quality.quoted_list(F.col("b")).alias("b")
+    ).first()
+    assert got.a == str(items) and got.b == "[]"
