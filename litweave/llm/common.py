@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litweave.session import written
 
-__all__ = ["components", "partitions", "placed", "row_of", "seeded_rank", "words", "written"]
+__all__ = ["components", "marked", "partitions", "placed", "row_of", "seeded_rank", "words", "written"]
 
 #: Word characters of the contracts: everything but the ASCII white space. `bytes.split()` cuts
 #: UTF-8 text at exactly these bytes.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: Slots of a bit map of keys, at most.
+MOST_SLOTS = 1 << 27
+
 
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8 bytes; none for null."""
@@ -58,6 +62,19 @@ def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return met.select(*columns, "at", (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "total")
 
 
+def marked(keys: DataFrame, key: str) -> tuple[np.ndarray, int]:
+    """A bit map over slots of a column of integers, 16 MB at most, built by the tasks, and the number of
+    slots. A key's slot is its value modulo that number. It lets few other keys through while the keys are
+    fewer than the slots; whatever it lets through must be joined away."""
+    slots = min(MOST_SLOTS, 1 << max(20, (16 * keys.count()).bit_length()))
+    slot = F.pmod(key, F.lit(slots)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(slots // 8, np.uint8)
+    for k, bits in maps.collect():
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    return out, slots
+
+
 def _star_round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; rows are (a, b) with b < a."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

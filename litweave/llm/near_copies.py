@@ -19,23 +19,22 @@ from pyspark.sql import functions as F
 
 from litweave.functions.batches import grouped
 
-from .common import components, partitions, seeded_rank, written
+from .common import components, marked, partitions, seeded_rank, written
 from .simhash import _folded, fingerprint_links, shingle_hashes
 
 SHINGLE = 5
 #: A shingle is known by so many bytes of its hash.
 WIDTH = 6
-#: Texts from which the shingles' frequencies are estimated, and how many frequent shingles are kept.
-#: They only decide the order of the prefix filter, not what it finds.
-SAMPLE, FREQUENT = 2_000, 50_000
+#: One text in EVERY (of small tables so many that SAMPLE are left) is looked at for shingles of several
+#: texts, and how many of these are kept with their counts; a bit map has the others. The share is the same at every
+#: size, as a passage's number of texts grows with the corpus. This only decides the order of the prefix filter, not what it finds.
+EVERY, SAMPLE, FREQUENT = 16, 2_000, 50_000
 #: Slots of the parities that rule out candidates before their sets move, at least and by size; powers of two.
 PARITIES = 1024
 #: Bytes of the sets (or parities) of one block, and nodes of a block of parities.
 BLOCK_BYTES, BLOCK_NODES = 1 << 23, 2048
 #: Nodes of a shingle whose pairs are listed; those of commoner shingles are compared in blocks.
 COMMON = 256
-#: Slots that mark nodes whose sets are needed, at most; whatever else they let through is joined away.
-MOST_SLOTS = 1 << 27
 #: Texts whose sets are made together.
 TOGETHER = 256
 
@@ -104,7 +103,9 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": _unpacked(packed).view(np.int64)})
 
 
-def _prefixes(frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _prefixes(
+    frequent: np.ndarray, counts: np.ndarray, bits: np.ndarray, slots: int
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Sets → the first shingles of each, rare ones first; copies in a task are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,10 +118,11 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pd
                         continue
                     seen.add(node)
                     found = _unpacked(packed)
-                    n, often = len(found), np.zeros(len(found), np.int64)
+                    n, slot = len(found), (found % np.uint64(slots)).astype(np.int64)
+                    often = (bits[slot >> 3] >> (slot & 7) & 1).astype(np.int64)
                     if len(frequent):
                         place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                        often = np.where(frequent[place] == found, counts[place], 0)
+                        often = np.where(frequent[place] == found, counts[place], often)
                     first = found[np.argsort(often, kind="stable")[: n - -(-4 * n // 5) + 1]].view(np.int64)
                     k = len(first)
                     parts.append(np.stack([first, np.full(k, node), np.full(k, n), np.arange(k)]))
@@ -206,17 +208,6 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs[np.array(good, bool)]
 
 
-def _marked(nodes: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit map over slots of the nodes, 16 MB at most, that lets few other sets through; built by the tasks."""
-    slots = min(MOST_SLOTS, 1 << max(20, (16 * nodes.count()).bit_length()))
-    slot = F.pmod("node", F.lit(slots)) + 1
-    maps = nodes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(slots // 8, np.uint8)
-    for k, bits in maps.collect():
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
-    return out, slots
-
-
 def _of_marked(bits: np.ndarray, slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The sets whose node's slot is marked; copies in a task are left out."""
 
@@ -250,7 +241,7 @@ def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     met = [F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")]
     placed = written(pairs.join(a, "a").join(b, "b").select(*met, "a", "b"), "near-met")
     needed = placed.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = texts.mapInPandas(_of_marked(*_marked(blocks)), "node long, packed binary")
+    sets = texts.mapInPandas(_of_marked(*marked(blocks, "node")), "node long, packed binary")
     # Identifiers of 64 bits don't survive gaps in a pandas column, so a set's row names its node twice.
     rows = needed.join(sets, "node").select("x", "y", F.col("node").alias("a"), F.col("node").alias("b"), "packed")
     rows = rows.union(placed.select("x", "y", "a", "b", F.lit(None).cast("binary")))
@@ -316,15 +307,16 @@ def _across_blocks(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_open_pairs, "a long, b long")
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in several texts of a sample, sorted, and their counts."""
-    every = max(1, sets.count() // SAMPLE)
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Shingles found in several texts of a sample: the most frequent ones, sorted, and their counts; a bit
+    map of all of them and its size."""
+    every = max(1, min(EVERY, sets.count() // SAMPLE))
     sample = sets.where(F.pmod(seeded_rank(F.col("node"), 31), F.lit(every)) == 0).select("packed")
-    counted = sample.mapInPandas(_shingles, "h long").groupBy("h").count().where("count > 1")
+    counted = written(sample.mapInPandas(_shingles, "h long").groupBy("h").count().where("count > 1"), "near-frequent")
     top = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], top["count"].to_numpy(np.int64)[order]
+    return h[order], top["count"].to_numpy(np.int64)[order], *marked(counted, "h")
 
 
 def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
