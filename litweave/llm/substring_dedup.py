@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, row_of, words, written
+from .common import marked, partitions, row_of, words, written
 
 WINDOW = 13
 #: Words of the short grams among which a window's minimiser is chosen.
@@ -25,8 +27,13 @@ BUCKETS_PER_PARTITION = 16
 GATHERED, SLICE = 1 << 24, 1 << 20
 #: Minimisers are classed by this many values to find heavy ones.
 CLASSES = 1 << 16
-#: Documents looked at to find heavy minimisers. It decides the route of a window, never a result.
+#: Documents looked at to find heavy minimisers and frequent words. It decides the route of a window and how
+#: words are written, never a result.
 SAMPLE_ROWS = 4000
+#: Frequent words that travel as a number of two bytes, and the most bytes of such a word: 4 MB at most in all.
+#: Every other word travels as it is, behind the number RARE.
+VOCABULARY, LONGEST = (1 << 16) - 1, 64
+RARE = VOCABULARY
 
 _PACKED = "bucket int, packed binary"
 _RANGES = "doc_id long, text_key long, first int, after int"
@@ -62,74 +69,100 @@ def _classes(low: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(40)) % np.uint64(CLASSES)
 
 
-def _heavy_classes(docs: DataFrame, window: int, share: float) -> np.ndarray:
-    """Minimiser classes that hold more than `share` of the windows of a sample of documents."""
+def _sampled(docs: DataFrame, window: int, share: float) -> tuple[np.ndarray, list[bytes]]:
+    """From a sample of documents: minimiser classes that hold more than `share` of the windows, and
+    the most frequent words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CLASSES, np.int64)
+        total, often = np.zeros(CLASSES, np.int64), Counter()
         for batch in batches:
             for text in batch["text"]:
                 for _, found in _slices(text, window):
                     total += np.bincount(_classes(minimisers(found, window)).astype(np.int64), minlength=CLASSES)
+                    often.update(w for w in found if len(w) <= LONGEST)
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"class": some, "n": total[some]})
+        yield pd.DataFrame({"class": some, "word": None, "n": total[some]})
+        yield pd.DataFrame({"class": -1, "word": list(often.keys()), "n": list(often.values())})
 
     rows = docs.count()
     if not rows:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), []
     sample = docs.select("text").sample(min(1.0, SAMPLE_ROWS / rows), seed=7)
-    counted = sample.mapInPandas(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
-    return counted.loc[counted["n"] > share * counted["n"].sum(), "class"].to_numpy(np.uint64)
+    counted = sample.mapInPandas(count, "class long, word binary, n long").groupBy("class", "word").agg(F.sum("n").alias("n"))
+    counted = written(counted, "substring-sample")
+    classes = counted.where("word is null").toPandas()
+    heavy = classes.loc[classes["n"] > share * classes["n"].sum(), "class"].to_numpy(np.uint64)
+    frequent = counted.where("word is not null and n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    return heavy, [bytes(r["word"]) for r in frequent.select("word").collect()]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Bytes of equal weight together, which compress better."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel(), at + n * width
 
 
 class _Packer:
     """Super-k-mers of some documents, gathered as columns and packed by bucket."""
 
-    def __init__(self) -> None:
-        self.bytes = 0
-        self.bucket: list[np.ndarray] = []
-        self.doc: list[np.ndarray] = []
-        self.key: list[np.ndarray] = []
-        self.first: list[np.ndarray] = []
-        self.size: list[np.ndarray] = []
-        self.text: list[bytes] = []
-
-    def add(self, doc: int, key: int, at: int, joined: bytes, starts, ends, bucket, first, last, window: int) -> None:
-        n = len(first)
-        self.bucket.append(bucket)
-        self.doc.append(np.full(n, doc, np.int64))
-        self.key.append(np.full(n, key, np.int64))
-        self.first.append((first + at).astype(np.int32))
-        self.size.append((last - first + window).astype(np.int32))
-        begin, stop = starts[first].tolist(), ends[last + window - 1].tolist()
-        self.text += [joined[a:b] for a, b in zip(begin, stop)]
-        self.bytes += sum(stop) - sum(begin)
+    def __init__(self, numbers: dict[bytes, int]) -> None:
+        self.numbers = numbers
+        self.words = 0  # of all super-k-mers
+        self.total = 0  # of the slices of texts they come from
+        self.rare: list[bytes] = []  # words without a number, in order
+        self.codes: list[np.ndarray] = []
+        self.columns: list[tuple[np.ndarray, ...]] = []  # bucket, document, key, first word, its place in the slices, size
+
+    @property
+    def bytes(self) -> int:
+        return max(4 * self.words, 8 * self.total)
+
+    def add(self, doc: int, key: int, at: int, found: list[bytes], bucket, first, last, window: int) -> None:
+        n, size = len(first), last - first + window
+        number = self.numbers.get
+        codes = np.fromiter((number(w, RARE) for w in found), np.uint16, len(found))
+        self.codes.append(codes)
+        self.rare += [found[i] for i in np.flatnonzero(codes == RARE).tolist()]
+        self.columns.append((bucket, np.full(n, doc, np.int64), np.full(n, key, np.int64), first + at, first + self.total, size))
+        self.total += len(found)
+        self.words += int(size.sum())
 
     def rows(self) -> pd.DataFrame:
-        if not self.text:
+        if not self.words:
             return pd.DataFrame({"bucket": np.empty(0, np.int32), "packed": []})
-        bucket, doc, key, first, size = (
-            np.concatenate(x) for x in (self.bucket, self.doc, self.key, self.first, self.size)
-        )
+        bucket, doc, key, first, place, size = (np.concatenate(x) for x in zip(*self.columns))
+        codes = np.concatenate(self.codes)
+        rank = np.cumsum(codes == RARE, dtype=np.int32) - 1  # of a word among the rare ones
         order = np.argsort(bucket, kind="stable")
         bounds = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
         packed, shrink = [], zstandard.ZstdCompressor(level=6).compress
         for a, b in zip(bounds[:-1], bounds[1:]):
             own = order[a:b]
-            head = np.array([b - a], np.int64).tobytes()
+            n, before = size[own], np.cumsum(size[own]) - size[own]
+            at = np.repeat(place[own] - before, n) + np.arange(int(n.sum()))
+            code = codes[at]
+            rare = b" ".join([self.rare[i] for i in rank[at[code == RARE]].tolist()])
+            head = np.array([b - a, len(at)], np.int64).tobytes()
             steps = np.diff(doc[own], prepend=0)  # documents come in order, so these are small
-            columns = [x.tobytes() for x in (steps, key[own], first[own], size[own])]
-            packed.append(shrink(b"".join([head, *columns, b" ".join([self.text[i] for i in own])])))
+            columns = (steps, key[own], first[own].astype(np.int32), n.astype(np.int32), code)
+            packed.append(shrink(b"".join([head, *map(_planes, columns), rare])))
         return pd.DataFrame({"bucket": bucket[order[bounds[:-1]]].astype(np.int32), "packed": packed})
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     raw = zstandard.decompress(packed)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    steps, key = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * k) for k in range(2))
-    doc = np.cumsum(steps)
-    first, size = (np.frombuffer(raw, np.int32, n, 8 + 16 * n + 4 * n * k) for k in range(2))
-    return doc, key, first, size, raw[8 + 24 * n :]
+    n, n_words = np.frombuffer(raw, np.int64, 2).tolist()
+    at, columns = 16, []
+    for kind, size in ((np.int64, n), (np.int64, n), (np.int32, n), (np.int32, n), (np.uint16, n_words)):
+        column, at = _from_planes(raw, at, size, kind)
+        columns.append(column)
+    steps, *others = columns
+    return np.cumsum(steps), *others, raw[at:].split(b" ") if at < len(raw) else []
 
 
 def _offsets(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,30 +186,30 @@ def _slices(text: str | None, window: int) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _documents(batch: pd.DataFrame, window: int):
-    """(doc, key, number of the first word, words joined by spaces, word starts, word ends, minimisers)
-    of the slices of long enough texts."""
+    """(doc, key, number of the first word, words, minimisers) of the slices of long enough texts."""
     for doc, key, text in zip(batch["doc_id"].tolist(), batch["text_key"].tolist(), batch["text"]):
         for at, found in _slices(text, window):
             if len(found) >= window:
-                yield doc, key, at, b" ".join(found), *_offsets(found), minimisers(found, window)
+                yield doc, key, at, found, minimisers(found, window)
 
 
-def _super_kmers(buckets: int, heavy: np.ndarray, window: int) -> Callable:
+def _super_kmers(buckets: int, heavy: np.ndarray, frequent: list[bytes], window: int) -> Callable:
     """Texts → packed super-k-mers by bucket. Windows with a heavy minimiser are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = _Packer()
+        numbers = {w: i for i, w in enumerate(frequent)}
+        packer = _Packer(numbers)
         for batch in batches:
-            for doc, key, at, joined, starts, ends, low in _documents(batch, window):
+            for doc, key, at, found, low in _documents(batch, window):
                 begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
                 last = np.append(begin[1:], len(low)) - 1
                 light = ~np.isin(_classes(low[begin]), heavy)
                 begin, last = begin[light], last[light]
                 bucket = (_mixed(low[begin]) % np.uint64(buckets)).astype(np.int64)
-                packer.add(doc, key, at, joined, starts, ends, bucket, begin, last, window)
+                packer.add(doc, key, at, found, bucket, begin, last, window)
                 if packer.bytes >= GATHERED:
                     yield packer.rows()
-                    packer = _Packer()
+                    packer = _Packer(numbers)
         yield packer.rows()
 
     return run
@@ -216,14 +249,17 @@ def _repeated(doc: np.ndarray, windows: list[bytes]) -> np.ndarray:
     return out
 
 
-def _count_buckets(window: int) -> Callable:
+def _count_buckets(frequent: list[bytes], window: int) -> Callable:
     """Rows sorted by bucket → word ranges to remove; one bucket is held at a time."""
 
-    def count(parts: list[bytes]) -> pd.DataFrame:
-        doc, key, first, size, text = zip(*map(_unpacked, parts))
-        doc, key, first, size = (np.concatenate(x) for x in (doc, key, first, size))
-        joined = b" ".join(text)
-        starts, ends = _offsets(joined.split())
+    def count(parts: list[bytes], known: np.ndarray) -> pd.DataFrame:
+        doc, key, first, size, code, rare = zip(*map(_unpacked, parts))
+        doc, key, first, size, code = (np.concatenate(x) for x in (doc, key, first, size, code))
+        found = known[code]
+        found[code == RARE] = list(chain.from_iterable(rare))
+        found = found.tolist()
+        joined = b" ".join(found)
+        starts, ends = _offsets(found)
         n = size.astype(np.int64) - window + 1
         own = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -234,16 +270,18 @@ def _count_buckets(window: int) -> Callable:
         return _ranges(doc[own], key[own], first[own].astype(np.int64) + step[gone], window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.full(RARE + 1, b"", object)
+        known[: len(frequent)] = frequent
         current, held = None, []
         for batch in batches:
             for bucket, packed in zip(batch["bucket"].tolist(), batch["packed"]):
                 if bucket != current and held:
-                    yield count(held)
+                    yield count(held, known)
                     held = []
                 current = bucket
                 held.append(packed)
         if held:
-            yield count(held)
+            yield count(held, known)
 
     return run
 
@@ -255,10 +293,10 @@ def _heavy_windows(heavy: np.ndarray, window: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[at : at + 1000] for b in batches for at in range(0, len(b), 1000)):
             places: dict[bytes, list[tuple[int, int, int]]] = {}
-            for doc, key, first, joined, starts, ends, low in _documents(batch, window):
+            for doc, key, first, found, low in _documents(batch, window):
                 at = np.flatnonzero(np.isin(_classes(low), heavy))
-                for i, a, b in zip(at.tolist(), starts[at].tolist(), ends[at + window - 1].tolist()):
-                    places.setdefault(joined[a:b], []).append((doc, key, first + i))
+                for i in at.tolist():
+                    places.setdefault(b" ".join(found[i : i + window]), []).append((doc, key, first + i))
             yield pd.DataFrame(
                 {
                     "words": list(places),
@@ -286,18 +324,18 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text_key, text) → word ranges [first, after) that are to be removed.
 
     Consecutive windows with the same minimiser travel as one packed string to the minimiser's
-    bucket. Minimisers so frequent that a bucket would be several times the usual one (found on a
+    bucket, frequent words as numbers. Minimisers so frequent that a bucket would be several times the usual one (found on a
     sample of documents) go another way: their windows are put together per batch, the smallest
     document of each comes from a combined aggregate, and it is joined back to the batches' rows, of
     which Spark may split a skewed key. Both ways are exact.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    heavy = _heavy_classes(docs, window, 1 / (4 * n))
+    heavy, frequent = _sampled(docs, window, 1 / (4 * n))
     known = docs.where("doc_id is not null and text is not null")
-    packed = known.mapInPandas(_super_kmers(n * BUCKETS_PER_PARTITION, heavy, window), _PACKED)
+    packed = known.mapInPandas(_super_kmers(n * BUCKETS_PER_PARTITION, heavy, frequent, window), _PACKED)
     sorted_buckets = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = sorted_buckets.mapInPandas(_count_buckets(window), _RANGES)
+    found = sorted_buckets.mapInPandas(_count_buckets(frequent, window), _RANGES)
     if len(heavy):
         rows = written(
             known.mapInPandas(_heavy_windows(heavy, window), "words binary, least long, places binary"), "heavy-windows"
@@ -326,6 +364,17 @@ def _without(texts: pd.Series, first: pd.Series, after: pd.Series) -> pd.DataFra
     return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
 
 
+def _may_be(bits: np.ndarray, slots: int) -> Callable[[Column], Column]:
+    """Whether an identifier's slot is marked; never for null."""
+
+    @F.pandas_udf("boolean")
+    def of(ids: pd.Series) -> pd.Series:
+        slot = ids.fillna(0).astype(np.int64).to_numpy() % slots
+        return pd.Series((bits[slot >> 3] >> (slot & 7) & 1).astype(bool) & ids.notna().to_numpy())
+
+    return of
+
+
 def _text_key(text: Column, repeated: bool) -> Column:
     """Tells rows of one identifier apart; it need not travel where no identifier repeats."""
     return F.xxhash64(text) if repeated else F.lit(0).cast("long")
@@ -354,7 +403,12 @@ def without_repeats(
     ranges = repeated_ranges(docs, window).groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("first", "after")).alias("ranges")
     )
+    ranges = written(ranges, "ranges")
+    may_lose = _may_be(*marked(ranges.select("doc_id"), "doc_id"))(F.col("id"))
     keyed = rows.withColumns({"id": F.col(f"row.`{id_col}`").cast("long"), "key": _text_key(text, repeated)})
-    met = keyed.join(ranges, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    # Texts that surely lose nothing are not shuffled.
+    met = keyed.where(may_lose).join(ranges, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
     cut = met.select("row", _without(text, F.col("ranges.first"), F.col("ranges.after")).alias("cut"))
+    none = F.lit(None).cast("array<int>")
+    cut = cut.union(keyed.where(~may_lose).select("row", _without(text, none, none).alias("cut")))
     return cut.select("row", F.col("cut.kept").alias("kept_text"), F.col("cut.n_words").alias("n_words"), F.col("cut.n_removed").alias("n_removed"))

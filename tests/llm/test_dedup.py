@@ -214,14 +214,14 @@ def test_small_packs_and_slices_give_the_same(spark, monkeypatch):
     texts = passages(9) + ["x" * 500 + " " + "tail " * 30]
     rows = substring_dedup.without_repeats(documents(spark, texts)).select("row.doc_id", "kept_text", "n_words", "n_removed").collect()
     assert sorted(map(tuple, rows)) == brute_substring(range(len(texts)), texts)
-    monkeypatch.setattr(substring_dedup, "_heavy_classes", lambda docs, window, share: np.arange(0, substring_dedup.CLASSES, 3, dtype=np.uint64))
+    monkeypatch.setattr(substring_dedup, "_sampled", lambda docs, window, share: (np.arange(0, substring_dedup.CLASSES, 3, dtype=np.uint64), [b"a", b"the"]))
     rows = substring_dedup.without_repeats(documents(spark, texts)).select("row.doc_id", "kept_text", "n_words", "n_removed").collect()
     assert sorted(map(tuple, rows)) == brute_substring(range(len(texts)), texts)
 
 
 def test_heavy_minimisers_give_the_same(spark, monkeypatch):
     texts = passages(7)
-    monkeypatch.setattr(substring_dedup, "_heavy_classes", lambda docs, window, share: np.arange(0, substring_dedup.CLASSES, 2, dtype=np.uint64))
+    monkeypatch.setattr(substring_dedup, "_sampled", lambda docs, window, share: (np.arange(0, substring_dedup.CLASSES, 2, dtype=np.uint64), [b"a", b"the"]))
     rows = substring_dedup.without_repeats(documents(spark, texts)).select("row.doc_id", "kept_text", "n_words", "n_removed").collect()
     assert sorted(map(tuple, rows)) == brute_substring(range(len(texts)), texts)
 
