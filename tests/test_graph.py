@@ -6,6 +6,7 @@ from litweave.operators import quality, review
 from litweave.operators.cards import card_briefs, parse_cards, task_briefs
 from litweave.operators.gaps import detect_gaps
 from litweave.operators.graph import build_graph, cluster_cards, graph_totals, with_strength
+from litweave.operators import matching
 from litweave.operators.matching import first_match
 
 
@@ -259,3 +260,25 @@ def test_lists_in_issues_are_quoted(spark):
     items = ["plain", "it's", 'say "x"', "it's \"x\"", "back\\slash", "line\nbreak"]
     df = spark.createDataFrame([(items,)], "a array<string>")
     assert df.select(quality._quoted(F.col("a"))).first()[0] == repr(items)
+
+
+def test_first_match_by_pairs_and_by_grams(spark, monkeypatch):
+    names = [(f"t{t}", n) for t in range(3) for n in ("a", "view a", "ab c", "study 1", "xyz", "", None)[: 3 + 2 * t]]
+    targets = [
+        (f"t{t}", kind, pos, text, f"{kind}-{pos}")
+        for t in range(3)
+        for kind, pos, text in ((1, 0, "ab"), (0, 2, "study 12 of"), (0, 1, "the study 1"), (1, 3, "view"), (1, 4, ""))
+    ]
+    asked = spark.createDataFrame(names, "task_id string, name string")
+    given = spark.createDataFrame(targets, "task_id string, kind int, pos int, text string, target string")
+    want = set()
+    for task, name in names:
+        near = [r for r in targets if r[0] == task and name and r[3] and (name in r[3] or r[3] in name)]
+        if near:
+            want.add((task, name, min(near, key=lambda r: r[1:3])[4]))
+    for most in (0, 20, matching.PAIRS):
+        monkeypatch.setattr(matching, "PAIRS", most)
+        found = first_match(asked, given)
+        assert {tuple(r) for r in found.select("task_id", "name", "target").collect()} == want
+        # Rows of grams are far more than Spark's estimate, so no side may be sent whole to every task.
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
