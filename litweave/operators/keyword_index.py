@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,71 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+_BLOCKS = "term string, shard long, at array<smallint>, tf array<int>, max_tf int, min_dl int"
+
+
+class _Inverter:
+    """The posting blocks of one shard, from its chunks in order. Terms are held as numbers."""
+
+    def __init__(self, shard: int) -> None:
+        self.shard = shard
+        self.known: list[pa.Array] = []  # distinct terms of each batch
+        self.code: list[np.ndarray] = []  # of postings, counted on from those of earlier batches
+        self.at: list[np.ndarray] = []
+        self.tf: list[np.ndarray] = []
+        self.dl: list[np.ndarray] = []
+        self.terms = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        terms = batch.column("terms")
+        n = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(terms)
+        words = pc.dictionary_encode(flat.field("term"))
+        self.known.append(pc.cast(words.dictionary, pa.string()))
+        self.code.append(words.indices.to_numpy(zero_copy_only=False).astype(np.int32) + self.terms)
+        self.terms += len(words.dictionary)
+        self.tf.append(flat.field("tf").to_numpy(zero_copy_only=False).astype(np.int32))
+        for held, name, kind in ((self.at, "at", np.int16), (self.dl, "dl", np.int32)):
+            held.append(np.repeat(batch.column(name).to_numpy(zero_copy_only=False).astype(kind), n))
+
+    def blocks(self) -> pa.RecordBatch:
+        words = pc.dictionary_encode(pa.concat_arrays(self.known))
+        code = words.indices.to_numpy(zero_copy_only=False)[np.concatenate(self.code)]
+        order = np.argsort(code, kind="stable")  # chunks stay in order inside a term
+        at, tf, dl = (np.concatenate(x)[order] for x in (self.at, self.tf, self.dl))
+        n = len(words.dictionary)
+        bounds = np.searchsorted(code[order], np.arange(n + 1)).astype(np.int32)
+        most = np.maximum.reduceat(tf, bounds[:-1]) if n else tf
+        least = np.minimum.reduceat(dl, bounds[:-1]) if n else dl
+        lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (at, tf)]
+        columns = [words.dictionary, pa.array(np.full(n, self.shard, np.int64)), *lists, pa.array(most), pa.array(least)]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "shard", "at", "tf", "max_tf", "min_dl"])
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks sorted by shard and place → posting blocks; one shard is held at a time."""
+    held = None
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if held is None or held.shard != shard[a]:
+                if held is not None:
+                    yield held.blocks()
+                held = _Inverter(int(shard[a]))
+            held.add(batch.slice(a, b - a))
+    if held is not None:
+        yield held.blocks()
+
+
 def build_keyword_index(chunks: DataFrame, path: str | None = None) -> KeywordIndex:
     """Write the index of chunks(chunk_id, paper_id, chunk_index, text[, year]) once.
 
-    Texts are tokenised in one pass. All tables but `years` grow with the corpus and are built by
-    combined aggregates; a block is bounded by its shard, so a term of most chunks is no large group.
+    Texts are tokenised in one pass. All tables but `years` grow with the corpus. A shard's chunks meet in one
+    task, which turns them into posting blocks, so postings are neither sorted nor sent one by one; a block is
+    bounded by its shard, so a term of most chunks is no large group.
     """
     spark = chunks.sparkSession
     path = path or new_folder(spark, "keyword-index")
@@ -88,14 +150,12 @@ def build_keyword_index(chunks: DataFrame, path: str | None = None) -> KeywordIn
     own = forward.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "dl", "year"))).alias("c"))
     own.select("shard", "c.dl", "c.year").write.parquet(f"{path}/shards")
 
-    posted = forward.select("shard", "at", "dl", "year", F.inline("terms"))
-    blocks = posted.groupBy("term", "shard").agg(
-        F.sort_array(F.collect_list(F.struct("at", "tf"))).alias("c"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
-    )
-    blocks = blocks.select(_bucket(F.col("term")).alias("bucket"), "term", "shard", "c.at", "c.tf", "max_tf", "min_dl")
-    sort = ["bucket", "term", "shard"]
-    blocks.repartitionByRange(*sort).sortWithinPartitions(*sort).write.partitionBy("bucket").parquet(f"{path}/postings")
+    whole = forward.select("shard", "at", "dl", "terms").repartition("shard").sortWithinPartitions("shard", "at")
+    blocks = whole.mapInArrow(_inverted, _BLOCKS)
+    blocks = blocks.select(_bucket(F.col("term")).alias("bucket"), "*").hint("rebalance", "bucket")
+    blocks.sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/postings")
 
+    posted = forward.select("year", F.inline("terms"))
     posted.groupBy("term", "year").agg(F.count("*").alias("df")).write.parquet(f"{path}/statistics")
     _years(forward, spark.read.parquet(f"{path}/statistics")).write.parquet(f"{path}/years")
     return KeywordIndex(spark, path)

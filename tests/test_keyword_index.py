@@ -112,3 +112,23 @@ def test_terms_that_cannot_matter_are_skipped(spark, corpus, monkeypatch):
             bar = np.sort(np.append(bar, score[able]))[-3:]
         skipped += shard.skipped
     assert skipped > 0
+
+
+def test_posting_blocks_of_shards_that_cross_batches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    chunks = [(shard, at, sorted({words(rng, 1, 9): rng.randint(1, 5) for _ in range(rng.randrange(6))}.items())) for shard in (1, 2, 5) for at in range(40)]
+    rows = [{"shard": s, "at": a, "dl": sum(n for _, n in t) + a, "terms": [{"term": w, "tf": n} for w, n in t] or None} for s, a, t in chunks]
+    kind = pa.schema({"shard": pa.int64(), "at": pa.int16(), "dl": pa.int32(), "terms": pa.list_(pa.struct({"term": pa.string(), "tf": pa.int32()}))})
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 17], kind) for i in range(0, len(rows), 17)]
+    batches += [pa.RecordBatch.from_pylist([], kind), pa.RecordBatch.from_pylist([{"shard": 9, "at": 0, "dl": 0, "terms": None}], kind)]
+    want = {}
+    for r in rows:
+        for t in r["terms"] or []:
+            want.setdefault((r["shard"], t["term"]), []).append((r["at"], t["tf"], r["dl"]))
+    got = [r for b in ki._inverted(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len(want)
+    for r in got:
+        at, tf, dl = zip(*want[r["shard"], r["term"]])
+        assert (r["at"], r["tf"], r["max_tf"], r["min_dl"]) == (list(at), list(tf), max(tf), min(dl))
