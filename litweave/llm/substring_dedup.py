@@ -24,7 +24,7 @@ GRAM = 3
 #: Buckets for each shuffle partition; a task holds one bucket at a time.
 BUCKETS_PER_PARTITION = 16
 #: Bytes of super-k-mers gathered before they are packed, and of a text that is cut into words at a time.
-GATHERED, SLICE = 1 << 24, 1 << 20
+GATHERED, SLICE = 1 << 23, 1 << 20
 #: Minimisers are classed by this many values to find heavy ones.
 CLASSES = 1 << 16
 #: Documents looked at to find heavy minimisers and frequent words. It decides the route of a window and how
@@ -116,7 +116,8 @@ class _Packer:
         self.total = 0  # of the slices of texts they come from
         self.rare: list[bytes] = []  # words without a number, in order
         self.codes: list[np.ndarray] = []
-        self.columns: list[tuple[np.ndarray, ...]] = []  # bucket, document, key, first word, its place in the slices, size
+        self.slices: list[tuple[int, int]] = []  # document and key
+        self.columns: list[tuple[np.ndarray, ...]] = []  # bucket, slice, first word, its place in the slices, size
 
     @property
     def bytes(self) -> int:
@@ -128,14 +129,18 @@ class _Packer:
         codes = np.fromiter((number(w, RARE) for w in found), np.uint16, len(found))
         self.codes.append(codes)
         self.rare += [found[i] for i in np.flatnonzero(codes == RARE).tolist()]
-        self.columns.append((bucket, np.full(n, doc, np.int64), np.full(n, key, np.int64), first + at, first + self.total, size))
+        columns = (bucket, np.full(n, len(self.slices)), first + at, first + self.total, size)
+        self.columns.append(tuple(c.astype(np.int32) for c in columns))
+        self.slices.append((doc, key))
         self.total += len(found)
         self.words += int(size.sum())
 
     def rows(self) -> pd.DataFrame:
         if not self.words:
             return pd.DataFrame({"bucket": np.empty(0, np.int32), "packed": []})
-        bucket, doc, key, first, place, size = (np.concatenate(x) for x in zip(*self.columns))
+        bucket, owner, first, place, size = (np.concatenate(x) for x in zip(*self.columns))
+        self.columns = []
+        doc, key = np.array(self.slices, np.int64).T
         codes = np.concatenate(self.codes)
         rank = np.cumsum(codes == RARE, dtype=np.int32) - 1  # of a word among the rare ones
         order = np.argsort(bucket, kind="stable")
@@ -143,13 +148,14 @@ class _Packer:
         packed, shrink = [], zstandard.ZstdCompressor(level=6).compress
         for a, b in zip(bounds[:-1], bounds[1:]):
             own = order[a:b]
-            n, before = size[own], np.cumsum(size[own]) - size[own]
+            n = size[own]
+            before = np.cumsum(n) - n
             at = np.repeat(place[own] - before, n) + np.arange(int(n.sum()))
             code = codes[at]
             rare = b" ".join([self.rare[i] for i in rank[at[code == RARE]].tolist()])
             head = np.array([b - a, len(at)], np.int64).tobytes()
-            steps = np.diff(doc[own], prepend=0)  # documents come in order, so these are small
-            columns = (steps, key[own], first[own].astype(np.int32), n.astype(np.int32), code)
+            steps = np.diff(doc[owner[own]], prepend=0)  # documents come in order, so these are small
+            columns = (steps, key[owner[own]], first[own], n, code)
             packed.append(shrink(b"".join([head, *map(_planes, columns), rare])))
         return pd.DataFrame({"bucket": bucket[order[bounds[:-1]]].astype(np.int32), "packed": packed})
 
@@ -208,8 +214,9 @@ def _super_kmers(buckets: int, heavy: np.ndarray, frequent: list[bytes], window:
                 bucket = (_mixed(low[begin]) % np.uint64(buckets)).astype(np.int64)
                 packer.add(doc, key, at, found, bucket, begin, last, window)
                 if packer.bytes >= GATHERED:
-                    yield packer.rows()
+                    rows = packer.rows()
                     packer = _Packer(numbers)
+                    yield rows
         yield packer.rows()
 
     return run

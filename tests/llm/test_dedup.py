@@ -239,3 +239,25 @@ def test_substring_rows_with_null_or_repeated_identifiers(spark):
     rows = substring_dedup.without_repeats(documents(spark, [text, text, text], [2, 2, 1])).collect()
     assert sorted((r["row"]["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), (2, 20), (2, 20)]
     assert substring_dedup.without_repeats(documents(spark, [])).count() == 0
+
+
+def test_super_kmers_are_packed_in_little_memory():
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from litweave.llm import substring_dedup
+
+    rng = random.Random(1)
+    known = [f"word{i}" for i in range(3000)]
+    text = " ".join(rng.choices(known, k=20_000))
+    docs = pd.DataFrame({"doc_id": range(100), "text_key": [0] * 100, "text": [text] * 100})
+    pack = substring_dedup._super_kmers(64, np.empty(0, np.uint64), [w.encode() for w in known[:2000]], 13)
+    tracemalloc.start()
+    try:
+        assert sum(len(rows) for rows in pack(iter([docs])))
+        assert tracemalloc.get_traced_memory()[1] < 70e6
+    finally:
+        tracemalloc.stop()
