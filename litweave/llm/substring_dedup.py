@@ -10,13 +10,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import marked, partitions, row_of, words, written
+from .common import marked, partitions, row_of, sliced, slices, words, written
 
 WINDOW = 13
 #: Words of the short grams among which a window's minimiser is chosen.
@@ -88,7 +89,8 @@ def _sampled(docs: DataFrame, window: int, share: float) -> tuple[np.ndarray, li
     if not rows:
         return np.empty(0, np.uint64), []
     sample = docs.select("text").sample(min(1.0, SAMPLE_ROWS / rows), seed=7)
-    counted = sample.mapInPandas(count, "class long, word binary, n long").groupBy("class", "word").agg(F.sum("n").alias("n"))
+    fields = "class long, word binary, n long"
+    counted = sample.mapInArrow(sliced(count, fields), fields).groupBy("class", "word").agg(F.sum("n").alias("n"))
     counted = written(counted, "substring-sample")
     classes = counted.where("word is null").toPandas()
     heavy = classes.loc[classes["n"] > share * classes["n"].sum(), "class"].to_numpy(np.uint64)
@@ -340,35 +342,44 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = partitions(spark)
     heavy, frequent = _sampled(docs, window, 1 / (4 * n))
     known = docs.where("doc_id is not null and text is not null")
-    packed = known.mapInPandas(_super_kmers(n * BUCKETS_PER_PARTITION, heavy, frequent, window), _PACKED)
+    packed = known.mapInArrow(sliced(_super_kmers(n * BUCKETS_PER_PARTITION, heavy, frequent, window), _PACKED), _PACKED)
     sorted_buckets = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = sorted_buckets.mapInPandas(_count_buckets(frequent, window), _RANGES)
+    found = sorted_buckets.mapInArrow(sliced(_count_buckets(frequent, window), _RANGES), _RANGES)
     if len(heavy):
-        rows = written(
-            known.mapInPandas(_heavy_windows(heavy, window), "words binary, least long, places binary"), "heavy-windows"
-        )
+        fields = "words binary, least long, places binary"
+        rows = written(known.mapInArrow(sliced(_heavy_windows(heavy, window), fields), fields), "heavy-windows")
         least = rows.groupBy("words").agg(F.min("least").alias("least_of_all"))
         met = rows.join(least, "words").select("least_of_all", "places")
-        found = found.union(met.mapInPandas(_heavy_ranges(window), _RANGES))
+        found = found.union(met.mapInArrow(sliced(_heavy_ranges(window), _RANGES), _RANGES))
     return found
 
 
 _CUT = T.StructType().add("kept", "string").add("n_words", "long").add("n_removed", "long")
+_CUT_ARROW = pa.struct([("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 
 
-@F.pandas_udf(_CUT)
-def _without(texts: pd.Series, first: pd.Series, after: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, a, b in zip(texts, first, after):
-        found = words(text)
-        n = len(found)
-        if a is not None and len(a):
-            gone = np.zeros(n + 1, np.int64)
-            np.add.at(gone, a, 1)
-            np.add.at(gone, b, -1)
-            found = [w for w, k in zip(found, np.cumsum(gone[:n]).tolist()) if not k]
-        rows.append((b" ".join(found).decode("utf-8", "surrogatepass"), n, n - len(found)))
-    return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
+def _kept(text: str | None, a: np.ndarray | None, b: np.ndarray | None) -> dict:
+    found = words(text)
+    n = len(found)
+    if a is not None and len(a):
+        gone = np.zeros(n + 1, np.int64)
+        np.add.at(gone, a, 1)
+        np.add.at(gone, b, -1)
+        found = [w for w, k in zip(found, np.cumsum(gone[:n]).tolist()) if not k]
+    return {"kept": b" ".join(found).decode("utf-8", "surrogatepass"), "n_words": n, "n_removed": n - len(found)}
+
+
+def _numbers(items: pa.ListScalar) -> np.ndarray | None:
+    return items.values.to_numpy(zero_copy_only=False) if items.is_valid else None
+
+
+@F.arrow_udf(_CUT)
+def _without(texts: pa.Array, first: pa.Array, after: pa.Array) -> pa.Array:
+    done = [pa.array([], _CUT_ARROW)]
+    for at, n in slices(len(texts), texts.nbytes):
+        some = (x.slice(at, n) for x in (texts, first, after))
+        done.append(pa.array([_kept(t.as_py(), _numbers(a), _numbers(b)) for t, a, b in zip(*some)], _CUT_ARROW))
+    return pa.concat_arrays(done)
 
 
 def _may_be(bits: np.ndarray, slots: int) -> Callable[[Column], Column]:

@@ -261,3 +261,31 @@ def test_super_kmers_are_packed_in_little_memory():
         assert tracemalloc.get_traced_memory()[1] < 70e6
     finally:
         tracemalloc.stop()
+
+
+def test_batches_are_python_objects_a_slice_at_a_time():
+    import pyarrow as pa
+
+    from litweave.llm import common
+
+    text = "word " * 40_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": [text] * 99 + [None]})
+    seen = []
+
+    def run(frames):
+        for frame in frames:
+            seen.append(sum(len(t or "") for t in frame["text"]))
+            yield frame[["doc_id"]]
+
+    out = list(common.sliced(run, "doc_id long")(iter([batch, batch.slice(0, 0)])))
+    assert [i for b in out for i in b["doc_id"].to_pylist()] == list(range(100))
+    assert max(seen) <= common.AT_ONCE + len(text) and sum(seen) == 99 * len(text)
+
+
+def test_texts_are_cut_a_slice_at_a_time(spark, monkeypatch):
+    texts = passages(11)
+    plan = substring_dedup.without_repeats(documents(spark, texts))._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan
+    monkeypatch.setattr(substring_dedup, "slices", lambda rows, size: ((at, min(3, rows - at)) for at in range(0, rows, 3)))
+    rows = substring_dedup.without_repeats(documents(spark, texts)).select("row.doc_id", "kept_text", "n_words", "n_removed").collect()
+    assert sorted(map(tuple, rows)) == brute_substring(range(len(texts)), texts)
