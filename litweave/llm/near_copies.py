@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from litweave.functions.batches import grouped
 
-from .common import components, marked, partitions, seeded_rank, written
+from .common import components, marked, partitions, released, seeded_rank, written
 from .simhash import _folded, fingerprint_links, shingle_hashes
 
 SHINGLE = 5
@@ -193,7 +193,7 @@ def _blocks(nodes: DataFrame, name: str) -> DataFrame:
     """nodes(node, bytes, label) → (node, block), neighbours by label together. Which ones do decides what
     moves, never what is found."""
     dealt = nodes.repartitionByRange(partitions(nodes.sparkSession), "label", "node").sortWithinPartitions("label", "node")
-    return written(dealt.select("node", "bytes").mapInPandas(_cut_blocks, "node long, block long"), name)
+    return written(dealt.select("node", "bytes").mapInPandas(released(_cut_blocks), "node long, block long"), name)
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +231,7 @@ def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     known = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "near-known")
     for c in "ab":
         pairs = pairs.join(known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
-    pairs = written(pairs.mapInPandas(_possible, "a long, b long"), "near-candidates")
+    pairs = written(pairs.mapInPandas(released(_possible), "a long, b long"), "near-candidates")
     if pairs.isEmpty():
         return pairs
     both = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("label"))
@@ -241,12 +241,12 @@ def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     met = [F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")]
     placed = written(pairs.join(a, "a").join(b, "b").select(*met, "a", "b"), "near-met")
     needed = placed.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = texts.mapInPandas(_of_marked(*marked(blocks, "node")), "node long, packed binary")
+    sets = texts.mapInPandas(released(_of_marked(*marked(blocks, "node"))), "node long, packed binary")
     # Identifiers of 64 bits don't survive gaps in a pandas column, so a set's row names its node twice.
     rows = needed.join(sets, "node").select("x", "y", F.col("node").alias("a"), F.col("node").alias("b"), "packed")
     rows = rows.union(placed.select("x", "y", "a", "b", F.lit(None).cast("binary")))
     dealt = rows.repartition(partitions(texts.sparkSession), "x", "y").sortWithinPartitions("x", "y")
-    return written(dealt.mapInPandas(_similar, "a long, b long"), "near-links")
+    return written(dealt.mapInPandas(released(_similar), "a long, b long"), "near-links")
 
 
 def _open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,7 +304,7 @@ def _across_blocks(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     met = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     sent = met.join(rows.join(blocks, "node"), "block").select("x", "y", "block", "node", "root", "n", "odd")
     dealt = sent.repartition(partitions(mixed.sparkSession), "x", "y").sortWithinPartitions("x", "y")
-    return dealt.mapInPandas(_open_pairs, "a long, b long")
+    return dealt.mapInPandas(released(_open_pairs), "a long, b long")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -312,7 +312,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
     map of all of them and its size."""
     every = max(1, min(EVERY, sets.count() // SAMPLE))
     sample = sets.where(F.pmod(seeded_rank(F.col("node"), 31), F.lit(every)) == 0).select("packed")
-    counted = written(sample.mapInPandas(_shingles, "h long").groupBy("h").count().where("count > 1"), "near-frequent")
+    counted = written(sample.mapInPandas(released(_shingles), "h long").groupBy("h").count().where("count > 1"), "near-frequent")
     top = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -331,7 +331,7 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    ids = written(named.mapInPandas(_nodes, f"doc_id {kind}, {_NODE}"), "near-nodes")
+    ids = written(named.mapInPandas(released(_nodes), f"doc_id {kind}, {_NODE}"), "near-nodes")
     nodes = ids.select("node", "fp").distinct()
     parities = ids.select("node", "n", "odd").dropDuplicates(["node"])
     texts = ids.select("node", "packed")
@@ -342,9 +342,9 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab")
     links = fingerprint_links(least.select("fp")).join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    prefixes = texts.mapInPandas(_prefixes(*_frequent(texts)), "h long, node long, n int, pos int")
+    prefixes = texts.mapInPandas(released(_prefixes(*_frequent(texts))), "h long, node long, n int, pos int")
     dealt = prefixes.repartition(partitions(df.sparkSession), "h").sortWithinPartitions("h", "node")
-    shared = written(dealt.mapInPandas(_shared, "h long, node long, n int, pos int, first long"), "near-shared")
+    shared = written(dealt.mapInPandas(released(_shared), "h long, node long, n int, pos int, first long"), "near-shared")
     stars = shared.select(F.col("node").alias("a"), F.col("first").alias("b"))
     found = _confirmed(texts, parities, alike.union(links).union(stars))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import marked, partitions, row_of, sliced, slices, words, written
+from .common import give_back, marked, partitions, row_of, sliced, slices, words, written
 
 WINDOW = 13
 #: Words of the short grams among which a window's minimiser is chosen.
@@ -379,7 +379,9 @@ def _without(texts: pa.Array, first: pa.Array, after: pa.Array) -> pa.Array:
     for at, n in slices(len(texts), texts.nbytes):
         some = (x.slice(at, n) for x in (texts, first, after))
         done.append(pa.array([_kept(t.as_py(), _numbers(a), _numbers(b)) for t, a, b in zip(*some)], _CUT_ARROW))
-    return pa.concat_arrays(done)
+    out = pa.concat_arrays(done)
+    give_back()
+    return out
 
 
 def _may_be(bits: np.ndarray, slots: int) -> Callable[[Column], Column]:

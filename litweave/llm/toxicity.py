@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, seeded_rank, written
+from .common import give_back, partitions, released, seeded_rank, written
 
 #: Words and pairs of words are counted under hashes of so many values, which bounds the model.
 WORDS, PAIRS = 1 << 16, 1 << 20
@@ -207,9 +207,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Models, float, float] |
     some = written(some[0].union(some[1]), "calibration-labels")
     single = [y for y, size in sizes.items() if size == 1]
     others = known.join(some.where(~F.col("toxic").isin(single)), ["doc_id", "toxic"], "left_anti")
-    counted = docs.join(others.hint("merge"), "doc_id").select("text", "toxic").mapInPandas(_gather, "part int, packed binary")
+    counted = docs.join(others.hint("merge"), "doc_id").select("text", "toxic").mapInPandas(released(_gather), "part int, packed binary")
     sums = counted.repartition(n, "part").sortWithinPartitions("part").mapInPandas(
-        _count, "kind string, at long, v0 double, v1 double, v2 double, v3 double"
+        released(_count), "kind string, at long, v0 double, v1 double, v2 double, v3 double"
     )
     total = sums.groupBy("kind", "at").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(4)])
     models = Models.of(total.toPandas())
@@ -222,7 +222,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Models, float, float] |
 def ratios(models: Models) -> Callable[[Column], Column]:
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([models.ratio(t) for t in texts], dtype=float)
+        found = pd.Series([models.ratio(t) for t in texts], dtype=float)
+        give_back()
+        return found
 
     return of
 

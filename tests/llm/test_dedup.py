@@ -289,3 +289,28 @@ def test_texts_are_cut_a_slice_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "slices", lambda rows, size: ((at, min(3, rows - at)) for at in range(0, rows, 3)))
     rows = substring_dedup.without_repeats(documents(spark, texts)).select("row.doc_id", "kept_text", "n_words", "n_removed").collect()
     assert sorted(map(tuple, rows)) == brute_substring(range(len(texts)), texts)
+
+
+def test_tasks_give_memory_back_when_done(monkeypatch):
+    import pyarrow as pa
+
+    from litweave.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("given back"))
+
+    def run(batches):
+        for b in batches:
+            yield b
+        seen.append("done")
+
+    assert list(common.released(run)(iter([1, 2]))) == [1, 2] and seen == ["done", "given back"]
+    early = common.released(run)(iter([1, 2]))
+    next(early)
+    early.close()  # as a limit does
+    assert seen == ["done", "given back", "given back"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2]})
+    assert [b.num_rows for b in common.sliced(run, "doc_id long")(iter([batch]))] == [2]
+    assert seen[3:] == ["done", "given back"]
+    monkeypatch.undo()
+    common.give_back()
