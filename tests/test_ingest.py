@@ -200,3 +200,20 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
 def test_ingest_does_not_shuffle(spark, capsys):
     chunk_rows(parse_papers(papers(spark, {"a": body([10])}))).explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_span_rows_in_any_order_travel_as_runs(spark):
+    rows = [
+        ("p", 0, 0, 0, 2, "c", 9.0), ("p", 0, 0, 0, 0, "a", 9.0), ("p", 0, 0, 0, 1, "b", 9.0),
+        ("p", 0, 0, 1, 1, "y", 11.0), ("p", 0, 0, 1, 1, "x", 9.0), ("p", 0, 0, 1, 2, "z", None), ("p", 0, 0, 1, None, "0", 9.0),
+        ("q", 0, 0, 0, 0, None, 9.0), ("q", 0, 0, 0, 1, " q", float("nan")), ("q", 0, 0, 2, 0, " ", 9.0),
+    ] + [("r", 0, 0, k // 20, k % 20, f" {k}", 10.0) for k in range(30_000)]
+    spans = spark.createDataFrame(rows, schema.SPANS).coalesce(1)
+    found = {(r["paper_id"], r["line_no"]["line"]): r for r in paper_source.lines_of_span_rows(spans).collect()}
+    assert [found[k]["text"] for k in (("p", 0), ("p", 1), ("q", 0))] == ["abc", "0xyz", "q"]
+    assert found["p", 1]["size"] == 11.0 and len(found) == 3 + 1500
+    assert all(found["r", n]["text"] == " ".join(map(str, range(20 * n, 20 * n + 20))) for n in range(1500))
+    runs = spans.where("paper_id = 'r'").mapInArrow(
+        paper_source._runs, "paper_id string, page int, block int, line int, size double, span int, texts array<string>"
+    )
+    assert runs.count() < 1510
