@@ -141,6 +141,12 @@ def _vocabulary(histogram: DataFrame, scope: Sequence[str], n: Column) -> DataFr
     )
 
 
+def _apart(df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The right side of a join on scope and term. With a scope there may be as many queries as scopes, and both
+    sides are exploded texts, many times what Spark takes them for, so neither is broadcast."""
+    return df.hint("merge") if scope else df
+
+
 def query_terms(
     queries: DataFrame, statistics: DataFrame, scope: Sequence[str] = ()
 ) -> DataFrame:
@@ -151,7 +157,7 @@ def query_terms(
     """
     tokens = queries.select("query_id", *scope, F.explode(search_tokens(F.col("text"))).alias("term"))
     counted = tokens.groupBy("query_id", *scope, "term").agg(F.count("*").alias("times"))
-    known = counted.join(statistics.drop("tokens"), [*scope, "term"])
+    known = counted.join(_apart(statistics.drop("tokens"), scope), [*scope, "term"])
     stats = corpus_stats(statistics, scope)
     if scope:
         known = known.join(stats, list(scope))
@@ -176,7 +182,7 @@ def weighed(known: DataFrame, *keys: str) -> DataFrame:
 
 def bm25_scores(postings: DataFrame, terms: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, chunk, score) of every (query, chunk) pair sharing a listed term."""
-    hits = postings.join(terms, [*scope, "term"])
+    hits = postings.join(_apart(terms, scope), [*scope, "term"])
     length_norm = 1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl")
     part = F.col("weight") * F.col("tf") / (F.col("tf") + fixed.BM25_K1 * length_norm)
     # ANY_CHUNK has tf 0; in a scope without tokens avgdl is 0 and the part is not a number.

@@ -360,3 +360,16 @@ def test_queries_without_year_or_paper_are_answered(spark):
         "paper": ["a1"], "both": ["b2"],
     }
     assert len(papers["none"]) == 12 and len(papers["paper"]) == 4
+
+
+def test_exploded_texts_of_scoped_queries_are_not_broadcast(spark):
+    from litweave.operators.bm25 import bm25_scores, postings, query_terms, term_statistics
+
+    rows = [(f"p{i}_0", f"p{i}", 0, f"alpha beta w{i}") for i in range(8)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, paper_id string, chunk_index int, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"p{i}", "alpha w1") for i in range(8)], "query_id string, paper_id string, text string")
+    terms = query_terms(asked, term_statistics(corpus, ["paper_id"]), ["paper_id"])
+    scores = bm25_scores(postings(corpus, ["paper_id"]), terms, ["paper_id"])
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 2
+    assert {r["query_id"] for r in scores.collect()} == {f"q{i}" for i in range(8)}
