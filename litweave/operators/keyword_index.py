@@ -2,7 +2,7 @@
 buckets of the queries' terms.
 
 Chunks are numbered in corpus order and cut into shards of neighbouring numbers. A posting block holds
-one term's chunks in one shard with bounds of its contributions (largest tf, smallest length, which hold for
+one term's chunks in one shard (or in a part of it) with bounds of its contributions (largest tf, smallest length, which hold for
 any average length). A search sends each needed block once to its shard, where a task adds up the scores of a
 query over the shard's chunks; terms whose bounds together can't reach the n-th score found so far are skipped (MaxScore).
 Document frequencies are kept by year, so a limit on the year changes the statistics and is a
@@ -26,7 +26,7 @@ from litweave.functions.batches import grouped
 from litweave.functions.text import search_tokens, term_counts
 from litweave.operators.bm25 import CHUNK_KEYS, hit_order, idf, weighed
 from litweave.operators.ranking import top_n
-from litweave.session import new_folder, written
+from litweave.session import new_folder, packed, written
 
 #: A shard has 2^SHARD_BITS chunks at most.
 SHARD_BITS = 12
@@ -108,7 +108,7 @@ class _Inverter:
 
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks sorted by shard and place → posting blocks; one shard is held at a time."""
+    """Chunks in order → posting blocks; one shard is held at a time."""
     held = None
     for batch in batches:
         shard = batch.column("shard").to_numpy()
@@ -128,9 +128,9 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_keyword_index(chunks: DataFrame, path: str | None = None) -> KeywordIndex:
     """Write the index of chunks(chunk_id, paper_id, chunk_index, text[, year]) once.
 
-    Texts are tokenised in one pass. All tables but `years` grow with the corpus. A shard's chunks meet in one
-    task, which turns them into posting blocks, so postings are neither sorted nor sent one by one; a block is
-    bounded by its shard, so a term of most chunks is no large group.
+    `chunks` is read twice (the order is sampled first) and tokenised in one pass. All tables but `years` grow with the corpus.
+    A shard's chunks lie together and become posting blocks where they lie, so postings are neither sorted nor sent one
+    by one; a block is bounded by its shard, so a term of most chunks is no large group.
     """
     spark = chunks.sparkSession
     path = path or new_folder(spark, "keyword-index")
@@ -139,24 +139,27 @@ def build_keyword_index(chunks: DataFrame, path: str | None = None) -> KeywordIn
     def counted(tokens: Column) -> Column:
         return F.struct(F.size(tokens).alias("dl"), F.when(F.size(tokens) > 0, term_counts(tokens)).alias("terms"))
 
-    tokens = chunks.select(*CHUNK_KEYS, year.alias("year"), let(search_tokens(F.coalesce("text", F.lit(""))), counted).alias("t"))
-    tokens = written(tokens.select(*CHUNK_KEYS, "year", "t.dl", "t.terms"), "tokens")
-    ordered = tokens.repartitionByRange("paper_id", "chunk_index").sortWithinPartitions("paper_id", "chunk_index")
-    ordered.select(F.monotonically_increasing_id().alias("doc"), "*").write.parquet(f"{path}/forward")
+    # Texts are sorted, not their terms, which are several times as large as rows.
+    ordered = chunks.select(*CHUNK_KEYS, year.alias("year"), "text").repartitionByRange("paper_id", "chunk_index")
+    ordered = ordered.sortWithinPartitions("paper_id", "chunk_index")
+    tokens = ordered.select(
+        F.monotonically_increasing_id().alias("doc"), *CHUNK_KEYS, "year", let(search_tokens(F.coalesce("text", F.lit(""))), counted).alias("t")
+    )
+    packed(tokens.select("doc", *CHUNK_KEYS, "year", "t.dl", "t.terms"), f"{path}/forward")
     forward = spark.read.parquet(f"{path}/forward").withColumns(
         {"shard": F.shiftright("doc", SHARD_BITS), "at": F.col("doc").bitwiseAND(F.lit(_AT)).cast("smallint"), "year": F.coalesce("year", F.lit(ANY_YEAR))}
     )
 
     own = forward.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "dl", "year"))).alias("c"))
-    own.select("shard", "c.dl", "c.year").write.parquet(f"{path}/shards")
+    packed(own.select("shard", "c.dl", "c.year"), f"{path}/shards")
 
-    whole = forward.select("shard", "at", "dl", "terms").repartition("shard").sortWithinPartitions("shard", "at")
-    blocks = whole.mapInArrow(_inverted, _BLOCKS)
+    # The files hold whole shards in order, so chunks are not moved again; a shard that a scan cuts in two gives two blocks a term.
+    blocks = forward.select("shard", "at", "dl", "terms").mapInArrow(_inverted, _BLOCKS)
     blocks = blocks.select(_bucket(F.col("term")).alias("bucket"), "*").hint("rebalance", "bucket")
-    blocks.sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/postings")
+    packed(blocks.sortWithinPartitions("bucket", "term", "shard"), f"{path}/postings", "bucket")
 
     posted = forward.select("year", F.inline("terms"))
-    posted.groupBy("term", "year").agg(F.count("*").alias("df")).write.parquet(f"{path}/statistics")
+    packed(posted.groupBy("term", "year").agg(F.count("*").alias("df")), f"{path}/statistics")
     _years(forward, spark.read.parquet(f"{path}/statistics")).write.parquet(f"{path}/years")
     return KeywordIndex(spark, path)
 
@@ -253,6 +256,18 @@ def _met(index: KeywordIndex, asked: DataFrame, terms: DataFrame, marks: DataFra
     return met.repartition("block", "shard").sortWithinPartitions("block", "shard")
 
 
+def _whole(blocks: pd.DataFrame) -> pd.DataFrame:
+    """One block per term, from the blocks of a shard that a scan has cut."""
+    if not blocks["term"].duplicated().any():
+        return blocks
+
+    def joined(parts: pd.Series) -> list:
+        return [x for part in parts for x in part]
+
+    kinds = {"at": joined, "tf": joined, "max_tf": "max", "min_dl": "min"}
+    return blocks.groupby("term", as_index=False).agg(kinds)
+
+
 class _Shard:
     """One shard's chunks, the posting blocks it was sent, and the queries to answer."""
 
@@ -260,7 +275,7 @@ class _Shard:
         self.shard = int(frame["shard"].iloc[0])
         own = frame[frame["dl"].notna()].iloc[0]
         self.dl, self.year = np.asarray(own["dl"], float), np.asarray(own["year"])
-        blocks = frame[frame["at"].notna()]
+        blocks = _whole(frame[frame["at"].notna()])
         self.at = [np.asarray(x, np.int64) for x in blocks["at"]]
         self.tf = [np.asarray(x, float) for x in blocks["tf"]]
         self.max_tf, self.min_dl = blocks["max_tf"].to_numpy(float), blocks["min_dl"].to_numpy(float)

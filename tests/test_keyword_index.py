@@ -132,3 +132,23 @@ def test_posting_blocks_of_shards_that_cross_batches():
     for r in got:
         at, tf, dl = zip(*want[r["shard"], r["term"]])
         assert (r["at"], r["tf"], r["max_tf"], r["min_dl"]) == (list(at), list(tf), max(tf), min(dl))
+
+
+def test_a_shard_that_a_scan_cuts_is_put_together_again(spark, corpus, asked):
+    index = ki.build_keyword_index(corpus)
+    whole = ranked(ki.search(index, asked, 6))
+    parts = index.postings.select("*", F.posexplode(F.arrays_zip("at", "tf")).alias("i", "x"))
+    parts = parts.groupBy("bucket", "term", "shard", (F.col("i") % 2).alias("part")).agg(
+        F.collect_list("x.at").alias("at"), F.collect_list("x.tf").alias("tf"), F.max("x.tf").alias("max_tf"), F.min("min_dl").alias("min_dl")
+    )
+    cut = parts.drop("part")
+    assert cut.count() > index.postings.count()
+    index.postings = cut
+    assert ranked(ki.search(index, asked, 6)) == whole
+
+
+def test_texts_are_sorted_and_terms_written_once(corpus, monkeypatch):
+    names = []
+    monkeypatch.setattr(ki, "written", lambda df, name, w=ki.written: names.append(name) or w(df, name))
+    ki.build_keyword_index(corpus)
+    assert "tokens" not in names
