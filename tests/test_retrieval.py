@@ -373,3 +373,21 @@ def test_exploded_texts_of_scoped_queries_are_not_broadcast(spark):
     plan = scores._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") >= 2
     assert {r["query_id"] for r in scores.collect()} == {f"q{i}" for i in range(8)}
+
+
+def test_scoped_chunks_list_asked_terms_only(spark, monkeypatch):
+    from litweave.operators import bm25 as keyword
+
+    rows = [(f"p{i}_{k}", f"p{i}", k, f"alpha beta gamma w{i} w{k}") for i in range(4) for k in range(3)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, paper_id string, chunk_index int, text string")
+    asked = spark.createDataFrame([("a", "p1", "w1 w2 zzz"), ("b", "p2", "alpha w0"), ("c", "p9", "w1"), ("d", "p1", "w0")], "query_id string, paper_id string, text string")
+    made = []
+    monkeypatch.setattr(keyword, "bm25_scores", lambda posted, *more, f=keyword.bm25_scores: made.append(posted.where("term in ('beta', 'gamma')").count()) or f(posted, *more))
+    few = ranking(keyword.bm25(corpus, asked, 2, ["paper_id"]))
+    monkeypatch.setattr(keyword, "LISTED", 0)
+    assert ranking(keyword.bm25(corpus, asked, 2, ["paper_id"])) == few
+    assert made[0] == 0 < made[1] and {r[0] for r in few} == {"a", "b", "d"}
+
+
+def ranking(hits):
+    return sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in hits.collect())
