@@ -22,6 +22,8 @@ LEAST = 5
 DISCOUNT, MARGIN, DOUBT = 0.75, 3.0, 3.0
 #: Pairs are dealt out by their first word's hash into so many groups.
 GROUPS = 256
+#: Fewer numbers than this are not merged into those of a group by themselves.
+MERGED = 1 << 16
 #: A text's score is that of its worst stretch of so many words.
 STRETCH = 128
 #: Bound of the calibration sample.
@@ -75,18 +77,49 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+class _Different:
+    """The different numbers of packets that come one by one. Packets wait until they are half as many as what is
+    held, so a number is sorted about log(packets) times and not once per packet."""
+
+    def __init__(self) -> None:
+        self.held, self.waiting, self.n = np.empty(0, np.int64), [], 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.waiting.append(numbers)
+        self.n += len(numbers)
+        if self.n >= max(MERGED, len(self.held) // 2):
+            self.all()
+
+    def all(self) -> np.ndarray:
+        """Sorted."""
+        if self.waiting:
+            flat = np.concatenate([self.held, *self.waiting])
+            self.held, self.waiting, self.n = flat[:0], [], 0
+            flat.sort()
+            self.held = flat[_begins(flat)]
+        return self.held
+
+
+def _begins(ascending: np.ndarray) -> np.ndarray:
+    """Whether a number is the first of its value."""
+    new = np.ones(len(ascending), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    return new
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed numbers sorted by group → sums per word, per context and per pair. Memory: the
-    different triples of one group and the fixed tables."""
+    """Packed numbers sorted by group → sums per word, per context and per pair. Memory: about three times the
+    different triples of one group, and the fixed tables."""
     word = np.zeros((4, WORDS))  # different words before: toxic, ordinary
     context = np.zeros((4, WORDS))  # toxic, ordinary, and the mass of their own
     pair = np.zeros((4, PAIRS))
-    current, keys = None, np.empty(0, np.int64)
+    current, keys = None, _Different()
 
-    def close() -> None:
-        pairs, at = np.unique(keys // (2 * WORDS), return_inverse=True)
-        counts = np.zeros((2, len(pairs)))
-        np.add.at(counts, (1 - keys % 2, at), 1)  # row 0: toxic
+    def close(keys: np.ndarray) -> None:
+        start = np.flatnonzero(_begins(keys // (2 * WORDS)))
+        pairs = keys[start] // (2 * WORDS)
+        toxic = np.add.reduceat(keys & 1, start)
+        counts = np.stack([toxic, np.diff(start, append=len(keys)) - toxic]).astype(float)
         before, after = pairs // WORDS, pairs % WORDS
         n = np.stack([np.bincount(before, c, WORDS) for c in counts])
         share = counts.sum(0) / n.sum(0)[before]
@@ -95,17 +128,18 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             word[k] += np.bincount(after, counts[k] > 0, WORDS)
             context[k] += n[k]
             context[2 + k] += np.bincount(before, mass[k], WORDS)
-            np.add.at(pair[k], _pair_slots(pairs), mass[k])
+            own = mass[k] > 0
+            np.add.at(pair[k], _pair_slots(pairs[own]), mass[k][own])
 
     for batch in batches:
         for part, packed in zip(batch["part"].tolist(), batch["packed"]):
-            if part != current and len(keys):
-                close()
-                keys = keys[:0]
+            if part != current and current is not None:
+                close(keys.all())
+                keys = _Different()
             current = part
-            keys = np.union1d(keys, np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64)))
-    if len(keys):
-        close()
+            keys.add(np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64)))
+    if current is not None:
+        close(keys.all())
     for kind, table in (("word", word), ("context", context), ("pair", pair)):
         at = np.flatnonzero(table.any(0))
         yield pd.DataFrame({"kind": kind, "at": at, **{f"v{k}": table[k, at] for k in range(4)}})

@@ -1,9 +1,11 @@
 """Language, toxicity and quality models: gradients, held-out accuracy, awkward rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,27 @@ def test_ratios_match_brute_force(spark):
         assert models.ratio(text) == pytest.approx(ratio(text), abs=1e-3), text
 
 
+def test_packets_of_a_group_are_not_merged_one_by_one():
+    rng = np.random.default_rng(3)
+    words = toxicity.WORDS
+
+    def packet():
+        h, w, b = rng.zipf(1.3, 20_000) % 256, rng.zipf(1.2, 20_000) % words, rng.zipf(1.2, 20_000) % words
+        return np.unique(((h * words + w) * words + b) * 2 + rng.integers(0, 2, 20_000))
+
+    found = [packet() for _ in range(80)]
+    packed = [zlib.compress(np.diff(x, prepend=0).tobytes(), 1) for x in found]
+    rows = pd.DataFrame({"part": 0, "packed": packed})
+    begin = time.perf_counter()
+    counts = pd.concat(toxicity._count(iter([rows.iloc[:50], rows.iloc[50:]])))
+    assert time.perf_counter() - begin < 6  # when each was merged with all before it, 2 groups of 50 such packets took 30 s
+    every = np.unique(np.concatenate(found))
+    got = counts[counts["kind"] == "context"].set_index("at")
+    for k, y in enumerate((1, 0)):
+        n = np.bincount(every[every % 2 == y] // (2 * words * words), minlength=words)
+        assert got[f"v{k}"].to_dict() == {h: n[h] for h in got.index}
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     ids = np.unique(rng.integers(0, toxicity.WORDS, 50))
