@@ -176,6 +176,28 @@ def test_quotes_are_checked_in_their_paper(spark):
     }
 
 
+def test_vectors_of_chunks_and_quotes_are_made_once(spark):
+    df, chunks = gate(spark)
+
+    def made(frame, schema):
+        calls = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for batch in batches:
+                calls.add(len(batch))
+                yield batch.assign(embedding=[[1.0, 0.0]] * len(batch))
+
+        return calls, frame.mapInPandas(run, schema)
+
+    quotes = quality.quotes_to_check(df).select("quote").distinct()
+    of_quotes, quote_vectors = made(quotes, "quote string, embedding array<float>")
+    of_chunks, vectors = made(chunks.select("chunk_id"), "chunk_id string, embedding array<float>")
+    checked = quality.check_quotes(df, chunks, vectors, quote_vectors)
+    got = {(r.task_id, r.paper_id, r.quote_pos): r.verified for r in checked.collect()}
+    assert got == {(r.task_id, r.paper_id, r.quote_pos): r.verified for r in quality.check_quotes(df, chunks).collect()}
+    assert (of_quotes.value, of_chunks.value) == (quotes.count(), 3)
+
+
 def test_quote_without_any_chunk_is_bad(spark):
     df, chunks = gate(spark)
     checked = quality.check_quotes(df, chunks.where("paper_id = 'b'"))

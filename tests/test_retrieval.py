@@ -180,6 +180,39 @@ def test_nearest_with_a_hot_scope(spark, monkeypatch):
         assert_same(got[qid], plain_nearest([r for r in rows if r[1] == pid], e, 3))
 
 
+def test_small_keys_are_scored_together(monkeypatch):
+    pd = V.pd
+    rng = np.random.default_rng(5)
+
+    def rows(n, extra):
+        keys = [f"p{i}" for i in rng.integers(0, 30, n)] + ["hot"] * extra + [None]
+        return pd.DataFrame({"_key0": keys, "embedding": [np.round(rng.random(3), 1) for _ in keys]})
+
+    v, q = rows(120, 90), rows(60, 50)
+    v = v.assign(chunk_id=[f"c{i}" for i in range(len(v))], paper_id=v["_key0"], chunk_index=range(len(v)))
+    q = q.assign(query_id=[f"q{i}" for i in range(len(q))])
+    made = []
+    monkeypatch.setattr(V, "_slice_best", lambda *of, f=V._slice_best: made.append(1) or f(*of))
+
+    def best(n, v=v, q=q):
+        made.clear()
+        found = pd.concat(V._best_by_key(v, q, ["_key0"], n)).sort_values(["query_id", "score", "chunk_index"], ascending=[True, False, True])
+        found = found if n is None else found.groupby("query_id").head(n)  # a slice gives its own best n
+        return list(zip(*[found[c].tolist() for c in ("query_id", "score", "paper_id", "chunk_index", "chunk_id")]))
+
+    for n in (1, 4, None):
+        together = best(n)
+        assert len(made) == 1  # the hot key's; before, one for each key
+        with monkeypatch.context() as m:
+            m.setattr(V, "SCORE_CELLS", 30)
+            assert best(n) == together
+            m.setattr(V, "KEY_PAIRS", 0)
+            assert best(n) == together and len(made) > 20
+    shorter = [df.assign(embedding=[e[:2] if k == "p1" else e for k, e in zip(df["_key0"], df["embedding"])]) for df in (v, q)]
+    assert len(best(2, *shorter)) == len(best(2))
+    assert V._best_by_key(v[:0], q, ["_key0"], 2) == V._best_by_key(v[v["_key0"] == "zz"], q, ["_key0"], 2) == []
+
+
 def test_cells_find_most_neighbours(spark):
     rows = vector_rows(spark, 5, papers=200)
     stored = spark.createDataFrame(rows, VEC)
