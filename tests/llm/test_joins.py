@@ -179,6 +179,20 @@ def test_batches_hold_the_budget_and_every_row(spark):
     assert packing.packed(df.limit(0), F.col("tokens")).collect() == []
 
 
+def test_lengths_are_counted_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def tokens(text):
+        counted.add(1)
+        return len(text)
+
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(100)], "doc_id long, text string")
+    got = packing.packed(df, tokens("text"), buckets=2, budget=20)
+    assert {(r["doc_id"], r["n_tokens"]) for r in got.collect()} == {(i, i % 7) for i in range(100)}
+    assert counted.value == 100  # ranges are sampled from all rows; that made it 200
+
+
 def plain_boundaries(lengths, counts, k):
     """The dynamic programme as a double loop; ties take the smallest cut."""
     upto = np.concatenate(([0], np.cumsum(counts)))
